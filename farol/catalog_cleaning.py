@@ -155,8 +155,8 @@ def safe_ratio(spark, folder):
         numeric.percent_of(part, whole).alias("percent"))
 
 
-_CITY = """CASE o_orderpriority WHEN '1-URGENT' THEN ' N/A ' WHEN '2-HIGH' THEN CAST(o_custkey AS VARCHAR)
-WHEN '3-MEDIUM' THEN '(' || o_orderkey || ')-' WHEN '4-NOT SPECIFIED' THEN NULL ELSE 'Belém ' || o_orderkey END"""
+_CITY = """CASE o_orderpriority WHEN '1-URGENT' THEN ' N/A ' WHEN '2-HIGH' THEN concat(o_custkey, '')
+WHEN '3-MEDIUM' THEN concat('(', o_orderkey, ')-') WHEN '4-NOT SPECIFIED' THEN NULL ELSE concat('Belém ', o_orderkey) END"""
 
 
 @query("invalid_tokens", f"""SELECT o_orderkey, c AS city FROM (SELECT o_orderkey, {_CITY} AS c FROM orders)
@@ -181,7 +181,7 @@ def swap_repair(spark, folder):
 
 
 @query("display_labels", """SELECT p_partkey, array_to_string(list_transform(string_split(replace(lower(p_name), ' ', '_'), '_'),
-x -> upper(substring(x, 1, 1)) || substring(x, 2)), ' ') AS label FROM part""")
+lambda x: upper(substring(x, 1, 1)) || substring(x, 2)), ' ') AS label FROM part""")
 def display_labels(spark, folder):
     name = F.replace(F.lower("p_name"), F.lit(" "), F.lit("_"))
     return table(spark, folder, "part").select("p_partkey", text.display_label(name).alias("label"))

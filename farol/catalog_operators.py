@@ -268,17 +268,17 @@ def _turns(spark, folder):
     return asked.join(answered, ["conv_id", "turn"])
 
 
-_WORDS = r"list_filter(regexp_split_to_array({c}, '\s+'), x -> x <> '')"
+_WORDS = r"list_filter(regexp_split_to_array({c}, '\s+'), lambda x: x <> '')"
 _BLEU = f"""WITH p AS (SELECT a.conv_id, a.turn, {_WORDS.format(c='a.text')} AS r, {_WORDS.format(c='b.text')} AS h
   FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1
   WHERE a.role = 'user' AND b.role = 'assistant'),
 sizes AS (SELECT conv_id, turn, CAST(len(r) AS DOUBLE) AS lr, CAST(len(h) AS DOUBLE) AS lh, n, greatest(len(h) - n + 1, 1) AS size
   FROM p, (SELECT unnest([1, 2, 3, 4]) AS n)),
 hg AS (SELECT conv_id, turn, n, g, COUNT(*) AS c FROM (SELECT conv_id, turn, n,
-  unnest(list_transform(range(1, len(h) - n + 2), i -> array_to_string(h[i:i + n - 1], chr(1)))) AS g
+  unnest(list_transform(range(1, len(h) - n + 2), lambda i: array_to_string(h[i:i + n - 1], chr(1)))) AS g
   FROM p, (SELECT unnest([1, 2, 3, 4]) AS n)) GROUP BY ALL),
 rg AS (SELECT conv_id, turn, n, g, COUNT(*) AS c FROM (SELECT conv_id, turn, n,
-  unnest(list_transform(range(1, len(r) - n + 2), i -> array_to_string(r[i:i + n - 1], chr(1)))) AS g
+  unnest(list_transform(range(1, len(r) - n + 2), lambda i: array_to_string(r[i:i + n - 1], chr(1)))) AS g
   FROM p, (SELECT unnest([1, 2, 3, 4]) AS n)) GROUP BY ALL),
 m AS (SELECT conv_id, turn, n, SUM(least(hg.c, rg.c)) AS hits FROM hg JOIN rg USING (conv_id, turn, n, g) GROUP BY ALL),
 s AS (SELECT sizes.*, COALESCE(hits, 0) AS hits, SUM(CASE WHEN COALESCE(hits, 0) = 0 THEN 1 ELSE 0 END)

@@ -48,17 +48,17 @@ def hot_keys(fact: DataFrame, keys: list[str], share: float = 0.02) -> DataFrame
 
 
 def salted_lookup(fact: DataFrame, dim: DataFrame, on: dict[str, str], take: list[str], spread: list[str],
-                  salt: int = 32, share: float = 0.02) -> DataFrame:
+                  hot: DataFrame | None = None, salt: int = 32, share: float = 0.02) -> DataFrame:
     """``lookup`` for a fact in which a few key values hold most rows.
 
     Rows of a hot key are spread over ``salt`` values and only the matching dimension rows are
     repeated that often. The broadcast lists hold at most 1 / share keys. ``spread`` names
     columns that tell rows apart, copies included; their hash is the salt, so a task that runs
-    again sends every row where it went before.
+    again sends every row where it went before. ``hot`` gives the hot keys when they are known.
     """
     sources, targets = list(on), list(on.values())
-    hot = hot_keys(fact, sources, share)
-    marked = hot.select(*[F.col(c).alias(f"__h{i}") for i, c in enumerate(sources)], F.lit(True).alias("__hot"))
+    listed = hot if hot is not None else hot_keys(fact, sources, share)
+    marked = listed.select(*[F.col(c).alias(f"__h{i}") for i, c in enumerate(sources)], F.lit(True).alias("__hot"))
 
     def with_flag(df: DataFrame, columns: list[str]) -> DataFrame:
         cond = reduce(lambda a, b: a & b, [df[c].eqNullSafe(marked[f"__h{i}"]) for i, c in enumerate(columns)])

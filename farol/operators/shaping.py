@@ -88,32 +88,35 @@ def resolve_aliases(columns: list[str], accepted: dict[str, list[str]]) -> dict[
 
 def swap_flags(df: DataFrame, pairs: list[tuple[str, str]], group: str, order: list[str | Column],
                sample: int = 100) -> DataFrame:
-    """Per group, whether the id column of a pair holds names in its first non-null values."""
-    flags = None
-    for i, (ident, _) in enumerate(pairs):
-        window = Window.partitionBy(group).orderBy(*order)
-        head = (df.where(F.col(ident).isNotNull()).select(group, ident, F.row_number().over(window).alias("__rn"))
-                .where(F.col("__rn") <= sample))
-        flag = head.groupBy(group).agg(F.bool_or(F.col(ident).rlike("[A-Z]")).alias(f"__swap{i}"))
-        flags = flag if flags is None else flags.join(flag, group, "full")
-    return flags
-
-
-def repair_swaps(df: DataFrame, pairs: list[tuple[str, str]], group: str, order: list[str | Column]) -> DataFrame:
-    """Swap id and name columns back in the groups (files) where they are exchanged."""
-    present = [(a, b) for a, b in pairs if a in df.columns and b in df.columns]
-    if not present:
-        return df
+    """Per group and id column, whether its first non-null values hold names; one pass for all pairs."""
+    idents = [ident for ident, _ in pairs]
+    ordered = df.select(group, F.struct(*order).alias("__order"), *idents)
+    long = ordered.unpivot([group, "__order"], idents, "__ident", "__value").where(F.col("__value").isNotNull())
+    window = Window.partitionBy(group, "__ident").orderBy("__order")
+    head = long.withColumn("__rn", F.row_number().over(window)).where(F.col("__rn") <= sample)
+    named = F.bool_or(F.col("__value").rlike("[A-Z]"))
+    return head.groupBy(group).pivot("__ident", idents).agg(named).select(
+        group, *[F.col(c).alias(f"__swap_{c}") for c in idents])
+
+
+def apply_swaps(df: DataFrame, flags: DataFrame, pairs: list[tuple[str, str]], group: str) -> DataFrame:
+    """Exchange the columns of a pair in the groups whose flag is set."""
     # one row per file; adaptive execution broadcasts it when it is small
-    out = df.join(swap_flags(df, present, group, order), group, "left")
+    out = df.join(flags, group, "left")
     fixed: dict[str, Column] = {}
-    for i, (ident, name) in enumerate(present):
-        swapped = F.coalesce(F.col(f"__swap{i}"), F.lit(False))
+    for ident, name in pairs:
+        swapped = F.coalesce(F.col(f"__swap_{ident}"), F.lit(False))
         fixed[ident] = F.when(swapped, F.col(name)).otherwise(F.col(ident))
         fixed[name] = F.when(swapped, F.col(ident)).otherwise(F.col(name))
     return out.withColumns(fixed).select(*df.columns)
 
 
+def repair_swaps(df: DataFrame, pairs: list[tuple[str, str]], group: str, order: list[str | Column]) -> DataFrame:
+    """Put id and name columns back in the groups (files) where they are exchanged."""
+    present = [(a, b) for a, b in pairs if a in df.columns and b in df.columns]
+    return apply_swaps(df, swap_flags(df, present, group, order), present, group) if present else df
+
+
 def month_totals(df: DataFrame, month: str, category: str, metrics: list[str]) -> DataFrame:
     """Sums of many metrics per month and category, as (month, category, metric, total)."""
     known = df.where(F.col(month).isNotNull() & F.col(category).isNotNull())
