@@ -40,42 +40,42 @@ def lookup(fact: DataFrame, dim: DataFrame, on: dict[str, str], take: list[str])
     return joined.drop(*[k for _, k in pairs])
 
 
-def hot_keys(fact: DataFrame, keys: list[str], share: float = 0.02) -> DataFrame:
-    """Key values that hold more than ``share`` of all rows: never more than 1 / share rows."""
-    counts = fact.groupBy(*keys).agg(F.count("*").alias("__n"))
-    total = fact.select(F.count("*").alias("t")).scalar()
-    return counts.where(F.col("__n") > total * F.lit(share)).select(*keys)
+def hot_hashes(df: DataFrame, keys: dict[str, list[str]], share: float = 0.02) -> dict[str, list[int]]:
+    """Per key set, the hashes of the key values that hold more than ``share`` of all rows.
+
+    All key sets are counted in one pass; at most 1 / share hashes each reach the driver.
+    """
+    cells = F.array(*[F.struct(F.lit(name).alias("name"), F.xxhash64(*columns).alias("hash"))
+                      for name, columns in keys.items()])
+    counts = df.select(F.explode(cells).alias("k")).groupBy("k.name", "k.hash").agg(F.count("*").alias("rows"))
+    total = df.select(F.count("*").alias("t")).scalar()
+    found: dict[str, list[int]] = {name: [] for name in keys}
+    for row in counts.where(F.col("rows") > total * F.lit(share)).toLocalIterator():
+        found[row["name"]].append(row["hash"])
+    return found
 
 
 def salted_lookup(fact: DataFrame, dim: DataFrame, on: dict[str, str], take: list[str], spread: list[str],
-                  hot: DataFrame | None = None, salt: int = 32, share: float = 0.02) -> DataFrame:
+                  hot: list[int] | None = None, salt: int = 32, share: float = 0.02) -> DataFrame:
     """``lookup`` for a fact in which a few key values hold most rows.
 
     Rows of a hot key are spread over ``salt`` values and only the matching dimension rows are
-    repeated that often. The broadcast lists hold at most 1 / share keys. ``spread`` names
-    columns that tell rows apart, copies included; their hash is the salt, so a task that runs
-    again sends every row where it went before. ``hot`` gives the hot keys when they are known.
+    repeated that often. ``spread`` names columns that tell rows apart, copies included; their
+    hash is the salt, so a task that runs again sends every row where it went before. ``hot``
+    gives the hashes of the hot keys when they are known. Key columns of both sides must have
+    the same types, as the hash depends on them.
     """
-    sources, targets = list(on), list(on.values())
-    listed = hot if hot is not None else hot_keys(fact, sources, share)
-    marked = listed.select(*[F.col(c).alias(f"__h{i}") for i, c in enumerate(sources)], F.lit(True).alias("__hot"))
-
-    def with_flag(df: DataFrame, columns: list[str]) -> DataFrame:
-        cond = reduce(lambda a, b: a & b, [df[c].eqNullSafe(marked[f"__h{i}"]) for i, c in enumerate(columns)])
-        return df.join(F.broadcast(marked), cond, "left").drop(*[f"__h{i}" for i in range(len(columns))])
-
-    row_hash = F.xxhash64(*spread)
-    left = with_flag(fact, sources).withColumn(
-        "__salt", F.when(F.col("__hot"), F.pmod(row_hash, F.lit(salt))).otherwise(F.lit(0)).cast("int")
-    ).drop("__hot")
-    side = dim.select(*[F.col(d).alias(f"__k{i}") for i, d in enumerate(targets)], *take)
-    side = with_flag(side, [f"__k{i}" for i in range(len(targets))]).withColumn(
-        "__dsalt", F.explode(F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(salt - 1)))
-                             .otherwise(F.array(F.lit(0))))
-    ).drop("__hot")
-    cond = _null_safe(left, side, [(s, f"__k{i}") for i, s in enumerate(sources)])
-    joined = left.join(side, cond & (left["__salt"] == side["__dsalt"]), "left")
-    return joined.drop("__salt", "__dsalt", *[f"__k{i}" for i in range(len(targets))])
+    hashes = hot if hot is not None else hot_hashes(fact, {"key": list(on)}, share)["key"]
+    if not hashes:
+        return lookup(fact, dim, on, take)
+    targets = [f"__k{i}" for i in range(len(on))]
+    left = fact.withColumn("__salt", F.when(
+        F.xxhash64(*on).isin(hashes), F.pmod(F.xxhash64(*spread), F.lit(salt))).otherwise(F.lit(0)).cast("int"))
+    side = dim.select(*[F.col(d).alias(k) for d, k in zip(on.values(), targets)], *take)
+    copies = F.when(F.xxhash64(*targets).isin(hashes), F.sequence(F.lit(0), F.lit(salt - 1)))
+    side = side.withColumn("__dsalt", F.explode(copies.otherwise(F.array(F.lit(0)))))
+    cond = _null_safe(left, side, list(zip(on, targets))) & (left["__salt"] == side["__dsalt"])
+    return left.join(side, cond, "left").drop("__salt", "__dsalt", *targets)
 
 
 def new_rows(incoming: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
