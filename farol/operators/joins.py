@@ -23,13 +23,12 @@ def _null_safe(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]])
 def fixed_table(df: DataFrame) -> DataFrame:
     """Broadcast a table that has at most ``FIXED_TABLE_ROWS`` rows by definition.
 
-    The limit makes the bound part of the plan: one row more than allowed stops the job.
+    The bound is part of the plan: one row more than allowed stops the job.
     """
-    checked = df.limit(FIXED_TABLE_ROWS + 1)
-    rows = checked.agg(F.count("*").alias("n"))
-    guard = F.when(rows.select("n").scalar() > FIXED_TABLE_ROWS,
-                   F.raise_error(F.lit("reference table is too large to broadcast")))
-    return F.broadcast(checked.where(guard.isNull()))
+    row = df.limit(FIXED_TABLE_ROWS + 1).agg(F.collect_list(F.struct("*")).alias("rows"))
+    small = F.when(F.size("rows") <= FIXED_TABLE_ROWS, F.col("rows")).otherwise(
+        F.raise_error(F.lit("reference table is too large to broadcast")))
+    return F.broadcast(row.select(F.inline(small)))
 
 
 def lookup(fact: DataFrame, dim: DataFrame, on: dict[str, str], take: list[str]) -> DataFrame:

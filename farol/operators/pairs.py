@@ -22,11 +22,12 @@ RECORD_SCHEMA = T.StructType([
 
 def stats_by_original(scored: DataFrame, original: str, metrics: list[str]) -> DataFrame:
     """Pairs per original, with mean and exact median of every metric."""
-    out = scored.groupBy(original).agg(
+    means = scored.groupBy(original).agg(
         F.count("*").alias("pairs"), *[F.avg(m).alias(f"{m}_mean") for m in metrics])
-    for m in metrics:
-        out = out.join(exact_quantiles(scored, [original], m, {f"{m}_median": 0.5}), original, "left")
-    return out
+    long = scored.unpivot([original], metrics, "__metric", "__score")
+    medians = exact_quantiles(long, [original, "__metric"], "__score", {"__median": 0.5}).groupBy(original).agg(
+        *[F.max(F.when(F.col("__metric") == m, F.col("__median"))).alias(f"{m}_median") for m in metrics])
+    return means.join(medians, original, "left")
 
 
 def overall_stats(scored: DataFrame, original: str, metric: str) -> DataFrame:
@@ -39,15 +40,14 @@ def overall_stats(scored: DataFrame, original: str, metric: str) -> DataFrame:
 
 
 def catalogue_counts(records: DataFrame) -> DataFrame:
-    """Records per complexity, per query type and per table."""
-    def count(kind: str, df: DataFrame, column: str) -> DataFrame:
-        return df.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("records")).select(
-            F.lit(kind).alias("kind"), "value", "records")
-
-    tables = records.select(F.explode("tables_involved").alias("table"))
-    return (count("complexity", records, "complexity")
-            .unionByName(count("query_type", records, "query_type"))
-            .unionByName(count("table", tables, "table")))
+    """Records per complexity, per query type and per table, counted in one pass."""
+    def entry(kind: str, value):
+        return F.struct(F.lit(kind).alias("kind"), value.alias("value"))
+
+    entries = F.concat(
+        F.array(entry("complexity", F.col("complexity")), entry("query_type", F.col("query_type"))),
+        F.transform("tables_involved", lambda t: entry("table", t)))
+    return records.select(F.explode(entries).alias("e")).groupBy("e.kind", "e.value").agg(F.count("*").alias("records"))
 
 
 def paraphrase_counts(records: DataFrame) -> DataFrame:

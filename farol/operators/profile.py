@@ -51,8 +51,9 @@ def value_frequencies(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def value_shares(df: DataFrame, columns: list[str], k: int) -> DataFrame:
     """Share of each value among the non-null cells, k most frequent per column."""
-    top = first_rows(value_frequencies(df, columns), ["column"], [F.desc("records"), F.asc("value")], k)
-    totals = df.agg(*[F.count(F.col(c)).alias(c) for c in columns]).unpivot([], columns, "column", "total")
+    counts = value_frequencies(df, columns)
+    top = first_rows(counts, ["column"], [F.desc("records"), F.asc("value")], k)
+    totals = counts.groupBy("column").agg(F.sum("records").alias("total"))
     shares = top.join(F.broadcast(totals), "column")  # one row per column
     return shares.select("column", "value", "records",
                          (F.col("records") / F.col("total")).alias("share"))

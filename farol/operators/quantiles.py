@@ -1,9 +1,9 @@
 """Exact quantiles of any column and group without gathering a group in one task.
 
 ``percentile`` and ``median`` keep every distinct value of a group in one buffer. Here rows
-are first counted per (group, value), the value range is cut into buckets of about equal
-weight, and only the buckets that hold a wanted rank are sorted. Bucket bounds come from a
-sketch over all rows; they steer the work split and do not touch the result.
+are first counted per (group, value), the value range is cut into buckets with about equally
+many of these counts, and only the buckets that hold a wanted rank are sorted. Bucket bounds
+come from a sketch; they steer the work split and do not touch the result.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, points: dict[str
               .agg(F.count("*").alias("__c")))
 
     shares = [F.lit(i / size) for i in range(1, size)]
-    bounds = df.select(F.percentile_approx(number, F.array(*shares), F.lit(100 * size))).scalar()
+    bounds = counts.select(F.percentile_approx("__v", F.array(*shares), F.lit(100 * size))).scalar()
     steps = F.array(*[F.lit(1 << i) for i in reversed(range(size.bit_length() - 1))])
     spread = counts.withColumn("__bounds", bounds)
     # binary search: how many bounds lie below the value
@@ -37,35 +37,31 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, points: dict[str
     per_bucket = (per_bucket.withColumn("__before", F.coalesce(F.sum("__n").over(running), F.lit(0)))
                   .withColumn("__total", F.sum("__n").over(whole)))
 
-    wanted = F.explode(F.array(*[
-        F.struct(F.lit(name).alias("name"),
-                 (F.lit(p) * (F.col("__total") - 1)).alias("at"))
-        for name, p in points.items()
-    ]))
-    hits = per_bucket.select(*keys, "__b", "__n", "__before", wanted.alias("__w"))
-    low, high = F.floor("__w.at"), F.ceil("__w.at")
-    in_bucket = (high >= F.col("__before")) & (low < F.col("__before") + F.col("__n"))
-    hits = hits.where(in_bucket).select(
-        *[F.col(k).alias(f"__h_{k}") for k in keys], F.col("__b").alias("__hb"), "__before",
-        F.col("__w.name").alias("__name"), F.col("__w.at").alias("__at"),
-    )
+    wanted = F.array(*[
+        F.struct(F.lit(name).alias("name"), (F.lit(p) * (F.col("__total") - 1)).alias("at"))
+        for name, p in points.items()])
+    # the wanted ranks whose lower or upper neighbour lies in the bucket
+    inside = F.filter(wanted, lambda w: (F.ceil(w["at"]) >= F.col("__before"))
+                      & (F.floor(w["at"]) < F.col("__before") + F.col("__n")))
+    hits = per_bucket.withColumn("__ranks", inside).where(F.size("__ranks") > 0).select(
+        *[F.col(k).alias(f"__h{i}") for i, k in enumerate(keys)], F.col("__b").alias("__hb"), "__before", "__ranks")
 
-    inside = Window.partitionBy(*keys, "__b").orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)
     match = F.col("__b") == F.col("__hb")
-    for k in keys:
-        match = match & F.col(k).eqNullSafe(F.col(f"__h_{k}"))
-    needed = spread.join(hits.select(*[f"__h_{k}" for k in keys], "__hb").distinct(), match, "left_semi")
-    ranked = needed.withColumn("__skip", F.coalesce(F.sum("__c").over(inside), F.lit(0)))
-    found = ranked.join(hits, match).withColumn("__from", F.col("__before") + F.col("__skip"))
+    for i, k in enumerate(keys):
+        match = match & F.col(k).eqNullSafe(F.col(f"__h{i}"))
+    order = Window.partitionBy(*keys, "__b").orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)
+    found = spread.join(hits, match).withColumn(
+        "__from", F.col("__before") + F.coalesce(F.sum("__c").over(order), F.lit(0))
+    ).select(*keys, "__v", "__c", "__from", F.explode("__ranks").alias("__w"))
 
     def value_at(rank):
         covers = (rank >= F.col("__from")) & (rank < F.col("__from") + F.col("__c"))
         return F.max(F.when(covers, F.col("__v")))
 
-    lows = found.groupBy(*keys, "__name", "__at").agg(
-        value_at(F.floor("__at")).alias("__low"), value_at(F.ceil("__at")).alias("__high"))
+    ends = found.groupBy(*keys, F.col("__w.name").alias("__name"), F.col("__w.at").alias("__at")).agg(
+        value_at(F.floor("__w.at")).alias("__low"), value_at(F.ceil("__w.at")).alias("__high"))
     between = F.col("__low") + (F.col("__high") - F.col("__low")) * (F.col("__at") - F.floor("__at"))
-    return lows.groupBy(*keys).agg(
+    return ends.groupBy(*keys).agg(
         *[F.max(F.when(F.col("__name") == name, between)).alias(name) for name in points])
 
 

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from farol.functions import text
 from farol.functions.numeric import per_thousand, percent_of
 from farol.operators.joins import fixed_table, members
-from farol.operators.quantiles import exact_median
 from farol.operators.ranking import latest_rows, max_then_sum
 from farol.operators.shaping import month_totals
 from farol.plans.reference import CITY_SPELLINGS, states
@@ -87,20 +86,18 @@ def region_per_capita(by_state: DataFrame) -> DataFrame:
 
 
 def per_capita_summary(by_state: DataFrame) -> DataFrame:
-    """National mean and exact median of the state ratios."""
-    middle = exact_median(by_state, [], "leitos_geral_per_capita", "mediana")
-    return by_state.agg(F.avg("leitos_geral_per_capita").alias("media")).withColumn(
-        "mediana", middle.select("mediana").scalar())
+    """National mean and median of the state ratios: one row per state, 100 at most."""
+    ratio = "leitos_geral_per_capita"
+    return by_state.agg(F.avg(ratio).alias("media"), F.median(ratio).alias("mediana"))
 
 
 def state_extremes(by_state: DataFrame, k: int = 3) -> DataFrame:
-    """The k best and k worst equipped states."""
-    def side(name: str, order: Column) -> DataFrame:
-        rows = by_state.orderBy(order, "uf_hospital").limit(k)
-        return rows.select(F.lit(name).alias("grupo"), "uf_hospital", "leitos_geral_per_capita")
-
-    return side("top", F.desc("leitos_geral_per_capita")).unionByName(
-        side("bottom", F.asc("leitos_geral_per_capita")))
+    """The k best and k worst equipped states, ranked in one pass over 100 rows at most."""
+    ratio = "leitos_geral_per_capita"
+    best, worst = (F.row_number().over(Window.orderBy(o, "uf_hospital")) for o in (F.desc(ratio), F.asc(ratio)))
+    ranked = by_state.select("uf_hospital", ratio, best.alias("best"), worst.alias("worst"))
+    groups = F.array_compact(F.array(F.when(F.col("best") <= k, "top"), F.when(F.col("worst") <= k, "bottom")))
+    return ranked.select(F.explode(groups).alias("grupo"), "uf_hospital", ratio)
 
 
 def _shares(sums: DataFrame) -> DataFrame:

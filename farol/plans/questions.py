@@ -82,13 +82,19 @@ def facilities_stocking(leitos: DataFrame, bnafar: DataFrame, pattern: str, min_
 
 
 def above_state_mean(leitos: DataFrame, uf: str, column: str = "uti_sus_neonatal", year: int | None = None) -> DataFrame:
-    """Q6: cities whose mean per facility and month is above the state's, newest or given year."""
-    in_state = leitos.where(F.col("uf_hospital") == uf)
-    taken = year if year is not None else in_state.select(F.year(F.max(MONTH))).scalar()
-    rows = in_state.where(in_year(MONTH, taken))
-    limit = rows.select(mean_of(F.col(column))).scalar()
-    return rows.groupBy("municipio_hospital").agg(mean_of(F.col(column)).alias("media_municipal")).where(
-        F.col("media_municipal") > limit)
+    """Q6: cities whose mean per facility and month is above the state's, newest or given year.
+
+    Both means come from the sums per city and year.
+    """
+    rows = leitos.where(F.col("uf_hospital") == uf)
+    if year is not None:
+        rows = rows.where(in_year(MONTH, year))
+    sums = rows.groupBy("municipio_hospital", F.year(MONTH).alias("ano")).agg(
+        F.sum(column).alias("soma"), F.count(column).alias("n"))
+    newest = top_k(sums.groupBy("ano").agg(ratio(F.sum("soma"), F.sum("n")).alias("limite")), [F.desc("ano")], 1)
+    return sums.join(newest, "ano").select(
+        "municipio_hospital", ratio(F.col("soma"), F.col("n")).alias("media_municipal"), "limite"
+    ).where(F.col("media_municipal") > F.col("limite")).drop("limite")
 
 
 def expired_stock(bnafar: DataFrame, as_of: Day = None) -> DataFrame:
@@ -173,16 +179,22 @@ def facilities_with_email(leitos: DataFrame, nature: str = "HOSPITAL GERAL") ->
 
 
 def dear_in_equipped_cities(bps: DataFrame, leitos: DataFrame, year: int, min_beds: int = 200) -> DataFrame:
-    """Q15: products bought above their national mean price by institutions in cities with many beds."""
-    of_year = bps.where(in_year("data_compra", year))
-    national = of_year.groupBy("descricao_catmat").agg(mean_of(F.col("preco_unitario")).alias("media_nacional"))
-    cities = leitos.where(in_year(MONTH, year)).groupBy("municipio_hospital", "uf_hospital").agg(
+    """Q15: products bought above their national mean price by institutions in cities with many beds.
+
+    A product qualifies when its highest price in such a city does, so purchases shrink to one
+    row per product and city, which serve the national mean as well.
+    """
+    cities = leitos.where(in_year(MONTH, year)).groupBy(
+        F.col("municipio_hospital").alias("municipio"), F.col("uf_hospital").alias("uf_instituicao")).agg(
         F.sum("leitos_geral").alias("leitos")).where(F.col("leitos") > min_beds)
-    bought = members(of_year, cities, {"municipio": "municipio_hospital", "uf_instituicao": "uf_hospital"})
-    # a product qualifies when its highest price there does, so one row per product is joined
-    highest = bought.groupBy("descricao_catmat").agg(F.max("preco_unitario").alias("maior"))
-    return highest.join(national, "descricao_catmat").where(
-        F.col("maior").cast("double") > F.col("media_nacional")).select("descricao_catmat")
+    bought = bps.where(in_year("data_compra", year)).groupBy("descricao_catmat", "municipio", "uf_instituicao").agg(
+        F.sum("preco_unitario").alias("soma"), F.count("preco_unitario").alias("n"),
+        F.max("preco_unitario").alias("maior"))
+    marked = bought.join(cities, ["municipio", "uf_instituicao"], "left")
+    products = marked.groupBy("descricao_catmat").agg(
+        ratio(F.sum("soma"), F.sum("n")).alias("media_nacional"),
+        F.max(F.when(F.col("leitos").isNotNull(), F.col("maior"))).alias("maior"))
+    return products.where(F.col("maior").cast("double") > F.col("media_nacional")).select("descricao_catmat")
 
 
 def recent_prices(bps: DataFrame, pattern: str, months: int = 6, as_of: Day = None) -> DataFrame:
