@@ -7,13 +7,16 @@ from pyspark.sql import functions as F
 
 from farol.functions.text import strip_space
 
-_NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
-
 
 def to_number(c: Column) -> Column:
-    """Double, or null where the text is not a plain number."""
+    """Double, or null where the text is not a plain number.
+
+    The cast alone would also take ``12d``, ``NaN``, ``Infinity`` and hexadecimal text; testing
+    single characters is far cheaper per row than a pattern for the whole number.
+    """
     text = strip_space(c.cast("string"))
-    return F.when(text.rlike(_NUMBER), text.try_cast("double"))
+    plain = F.substring(text, -1, 1).between(".", "9") & (F.instr(F.lower(text), "x") == 0)
+    return F.when(plain, text.try_cast("double"))
 
 
 def int_or_zero(c: Column) -> Column:
@@ -60,7 +63,9 @@ def br_decimal(c: Column, precision: int = 20, scale: int = 4, point_style: Colu
     """
     text = F.regexp_replace(c, r"[^0-9.,\-]", "")
     if point_style is None:
-        pointed = ~F.contains(text, F.lit(",")) & text.rlike(r"^-?\d*\.(\d{1,2}|\d{4,})$")
+        one_point = F.length(text) - F.length(F.replace(text, F.lit("."), F.lit(""))) == 1
+        fraction = F.length(F.substring_index(text, ".", -1))
+        pointed = (F.instr(text, ",") == 0) & one_point & ~fraction.isin(0, 3)
     else:
         pointed = F.lit(point_style) if isinstance(point_style, bool) else point_style
     brazilian = F.replace(F.replace(text, F.lit("."), F.lit("")), F.lit(","), F.lit("."))

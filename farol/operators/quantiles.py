@@ -46,7 +46,8 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, points: dict[str
     hits = per_bucket.withColumn("__ranks", inside).where(F.size("__ranks") > 0).select(
         *[F.col(k).alias(f"__h{i}") for i, k in enumerate(keys)], F.col("__b").alias("__hb"), "__before", "__ranks")
 
-    match = F.col("__b") == F.col("__hb")
+    # null-safe throughout: a plain equality would add a not-null test of the bucket search to the scan
+    match = F.col("__b").eqNullSafe(F.col("__hb"))
     for i, k in enumerate(keys):
         match = match & F.col(k).eqNullSafe(F.col(f"__h{i}"))
     order = Window.partitionBy(*keys, "__b").orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)

@@ -60,8 +60,8 @@ def test_squeeze_space(spark):
 
 
 def test_integers(spark):
-    raw = ["12", " 3.7 ", "-3.7", "abc", None, "1e2", "12d", "99999999999"]
-    assert values(spark, numeric.int_or_zero, raw) == [12, 3, -3, 0, 0, 100, 0, 0]
+    raw = ["12", " 3.7 ", "-3.7", "abc", None, "1e2", "12d", "99999999999", "0x1p3", "NaN", "inf", "5.", "", "1/2"]
+    assert values(spark, numeric.int_or_zero, raw) == [12, 3, -3, 0, 0, 100, 0, 0, 0, 0, 0, 5, 0, 0]
     assert values(spark, numeric.comma_int, ["3,7", "5", "x", None]) == [3, 5, None, None]
     assert values(spark, numeric.loses_fraction, ["3,7", "5,0", "x", None]) == [True, False, False, False]
 
