@@ -84,8 +84,12 @@ def new_rows(incoming: DataFrame, known: DataFrame, keys: list[str]) -> DataFram
 
 
 def members(df: DataFrame, reference: DataFrame, on: dict[str, str]) -> DataFrame:
-    """Rows whose key tuple occurs in the reference (semi-join)."""
-    side = reference.select(*[F.col(r).alias(f"__k{i}") for i, r in enumerate(on.values())])
+    """Rows whose key tuple occurs in the reference (semi-join).
+
+    The reference is reduced to its distinct keys, map side first, so copies of a key in it cost
+    nothing; the join then uses the same partitioning.
+    """
+    side = reference.select(*[F.col(r).alias(f"__k{i}") for i, r in enumerate(on.values())]).distinct()
     cond = reduce(lambda a, b: a & b, [df[s] == side[f"__k{i}"] for i, s in enumerate(on)])
     return df.join(side, cond, "left_semi")
 

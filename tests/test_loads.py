@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import zipfile
 from decimal import Decimal
 
 import pytest
@@ -192,11 +193,12 @@ def test_incremental_ingest(spark, database, tmp_path):
     # the unreadable file does not keep the other one out
     assert run()["instituicao_estoca_produto"] == 2
     assert run() == {}
-    write(folder, "stock_2026.csv", STOCK_HEADER + stock(lot="L3") + stock(cnes="8"))
+    with zipfile.ZipFile(folder / "stock_2026.zip", "w") as archive:
+        archive.writestr("stock.csv", (STOCK_HEADER + stock(lot="L3") + stock(cnes="8")).encode("latin-1"))
     assert run()["instituicao"] == 1
     assert spark.table(fact).count() == 4
     done = rows(spark.table(f"{database}.processed_files").select(F.regexp_extract("path", "[^/]*$", 0)))
-    assert done == [("stock 2025 50%.csv",), ("stock_2026.csv",)]
+    assert done == [("stock 2025 50%.csv",), ("stock_2026.zip",)]
     # a new checkpoint hands over all files again, the ledger keeps the loaded ones out
     ingest_folder(spark, str(folder), datasets.STOCK, scratch_dir(spark, "cp"), database).awaitTermination()
     assert spark.table(fact).count() == 4
