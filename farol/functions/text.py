@@ -47,8 +47,13 @@ _FOLD_FROM, _FOLD_TO, _FOLD_SEVERAL = _fold_rules()
 
 
 def strip_space(c: Column) -> Column:
-    """Trim all white space, not only blanks."""
-    return F.btrim(c, F.lit(WHITESPACE))
+    """Trim all white space, not only blanks; text between printable ASCII ends is left alone."""
+    ends = F.substring(c, 1, 1).between("!", "~") & F.substring(c, -1, 1).between("!", "~")
+    return F.when(ends, c).otherwise(F.btrim(c, F.lit(WHITESPACE)))
+
+
+def upper_trim(c: Column) -> Column:
+    return F.upper(strip_space(c))
 
 
 def null_words(c: Column, words: list[str]) -> Column:
@@ -58,7 +63,7 @@ def null_words(c: Column, words: list[str]) -> Column:
 
 def clean_text(c: Column) -> Column:
     """Trim, upper-case, and turn the loader's null words into null."""
-    return null_words(F.upper(strip_space(c)), LAKE_NULL_WORDS)
+    return null_words(upper_trim(c), LAKE_NULL_WORDS)
 
 
 def lower_trim(c: Column) -> Column:
