@@ -8,10 +8,10 @@ ORACLES: dict[str, str] = {}
 ORACLES["op8_ngram_jaccard"] = r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-    '[\x20\x09-\x0D]+'), w -> w <> '') AS w FROM documents),
+    '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
 sets AS (
   SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
-    ELSE list_transform(range(1, len(w) - 2), i -> array_to_string(w[i:i + 3], ' ')) END) AS s FROM words),
+    ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS s FROM words),
 items AS (SELECT doc_id, unnest(s) AS g FROM sets),
 common AS (
   SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n FROM items a JOIN items b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
@@ -25,3 +25,25 @@ reach AS (
 SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id
 FROM sets JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY 1) USING (doc_id)
 """
+
+# Bytes as hex text: every 50-byte string of every document, grouped; runs of removed bytes by gaps and islands.
+ORACLES["op1_suffix_dedup"] = r"""
+WITH bytes AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS h FROM documents),
+sized AS (SELECT doc_id, h, CAST(length(h) // 2 AS BIGINT) AS n FROM bytes),
+strings AS (
+  SELECT doc_id, p, substr(h, 2 * p + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(n - 49)) AS p FROM sized WHERE n >= 50)),
+firsts AS (SELECT s, min(doc_id) AS first FROM strings GROUP BY s),
+starts AS (SELECT doc_id, p FROM strings JOIN firsts USING (s) WHERE doc_id > first),
+marked AS (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM starts),
+islands AS (
+  SELECT doc_id, p, sum(CASE WHEN before IS NULL OR p > before + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS island FROM marked),
+spans AS (SELECT doc_id, island, min(p) AS low, max(p) + 50 AS high FROM islands GROUP BY 1, 2),
+gaps AS (
+  SELECT doc_id, low, substr(h, 2 * coalesce(lag(high) OVER w, 0) + 1, 2 * (low - coalesce(lag(high) OVER w, 0))) AS kept
+  FROM spans JOIN sized USING (doc_id) WINDOW w AS (PARTITION BY doc_id ORDER BY low)),
+ends AS (SELECT doc_id, max(high) AS high, count(*) AS n_spans, sum(high - low) AS n_removed FROM spans GROUP BY 1),
+joined AS (SELECT doc_id, string_agg(kept, '' ORDER BY low) AS kept FROM gaps GROUP BY 1)
+SELECT doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(joined.kept, '') || substr(h, 2 * coalesce(high, 0) + 1))) AS kept_sha256
+FROM sized LEFT JOIN ends USING (doc_id) LEFT JOIN joined USING (doc_id)
+"""

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from farol.llm.common import Job
 from farol.llm.jaccard import near_duplicates
 from farol.llm.oracles import ORACLES
+from farol.llm.suffix_dedup import digest
 
 QUERIES: dict[str, Job] = {}
 
@@ -20,6 +21,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query
+def op1_suffix_dedup(spark, folder):
+    return digest(table(spark, folder, "documents"), length=50)
+
+
 @query
 def op8_ngram_jaccard(spark, folder):
     return near_duplicates(table(spark, folder, "documents"), percent=85, shingle=4)
