@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from farol.llm.licenses import PHRASES, TEMPLATES
+
 ORACLES: dict[str, str] = {}
 
+
+def _list(words) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
 # Every pair of documents with a shared shingle is counted; classes grow along the links until nothing changes.
 ORACLES["op8_ngram_jaccard"] = r"""
 WITH RECURSIVE words AS (
@@ -47,3 +53,57 @@ SELECT doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed
   sha256(unhex(coalesce(joined.kept, '') || substr(h, 2 * coalesce(high, 0) + 1))) AS kept_sha256
 FROM sized LEFT JOIN ends USING (doc_id) LEFT JOIN joined USING (doc_id)
 """
+
+# Every line is held against every notice, every word number against every phrase.
+_NOTICES = ", ".join(f"('{label}', {_list(sorted(set(notice.split())))})" for label, notice in TEMPLATES)
+_PHRASES = ", ".join(f"('{label}', {_list(phrase.split())})" for phrase, label in PHRASES.items())
+ORACLES["op5_license_scan"] = rf"""
+WITH notices(label, words) AS (VALUES {_NOTICES}),
+phrases(label, words) AS (VALUES {_PHRASES}),
+lowered AS (
+  SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+listed AS (
+  SELECT doc_id, t, list_filter(regexp_split_to_array(t, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w FROM lowered),
+places AS (
+  SELECT doc_id, label, i - 1 AS place FROM (
+    SELECT doc_id, label, words, w, unnest(range(1, len(w) + 1)) AS i FROM listed, phrases WHERE list_has_all(w, words))
+  WHERE w[i:i + len(words) - 1] = words),
+base AS (
+  SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, list(DISTINCT label) AS labels FROM places GROUP BY 1),
+lines AS (
+  SELECT doc_id, list_distinct(regexp_split_to_array(line, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w
+  FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM lowered)),
+hits AS (
+  SELECT doc_id, label, CAST(len(list_intersect(w, words)) AS DOUBLE) / len(words) AS containment FROM lines, notices
+  WHERE 100 * len(list_intersect(w, words)) >= 80 * len(words)),
+more AS (SELECT doc_id, list(DISTINCT label) AS labels, max(containment) AS best FROM hits GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, first_word, last_word,
+  coalesce(array_to_string(list_sort(base.labels), ','), '') AS base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(more.labels, [])))), ','), '') AS labels,
+  CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(best, 0)::DOUBLE END AS score
+FROM listed LEFT JOIN base USING (doc_id) LEFT JOIN more USING (doc_id)
+"""
+
+# Sources are filled one after another in the order of limit per weight; running sums over whole queues.
+ORACLES["op6_weighted_fair_mix"] = r"""
+WITH sized AS (
+  SELECT doc_id, source, md5(CAST(doc_id AS VARCHAR)) AS turn,
+    CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+sources AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS number FROM sized GROUP BY source),
+weighed AS (SELECT *, [3, 1, 2][(number - 1) % 3 + 1] AS weight, sum(source_size) OVER () AS everything FROM sources),
+filled AS (
+  SELECT *, 3 * everything - 2 * coalesce(sum(2 * source_size) OVER others, 0) AS rest,
+    sum(weight) OVER () - coalesce(sum(weight) OVER others, 0) AS open
+  FROM weighed WINDOW others AS (ORDER BY 2 * source_size / weight, number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+marked AS (SELECT *, 4 * source_size * open <= weight * rest AS is_full FROM filled),
+split AS (SELECT rest, open FROM marked WHERE NOT is_full ORDER BY 2 * source_size / weight, number LIMIT 1),
+goals AS (
+  SELECT source, source_size, CASE WHEN is_full THEN CAST(2 * source_size AS DOUBLE)
+    ELSE weight * (SELECT rest FROM split)::DOUBLE / (2 * (SELECT open FROM split)::DOUBLE) END AS target FROM marked),
+queued AS (
+  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY turn, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS before FROM sized)
+SELECT doc_id, size, source_size, target, CAST(
+  greatest(0, least(size, floor(target) - before)) + greatest(0, least(size, floor(target) - source_size - before)) AS BIGINT) AS taken
+FROM queued JOIN goals ON queued.source IS NOT DISTINCT FROM goals.source
+"""

@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from farol.llm.common import Job
 from farol.llm.jaccard import near_duplicates
+from farol.llm.licenses import license_scan
+from farol.llm.mixing import mixed
 from farol.llm.oracles import ORACLES
+from farol.llm.quality import judged
 from farol.llm.suffix_dedup import digest
 
 QUERIES: dict[str, Job] = {}
@@ -26,6 +29,21 @@ def op1_suffix_dedup(spark, folder):
     return digest(table(spark, folder, "documents"), length=50)
 
 
+@query
+def op4_quality_rules(spark, folder):
+    return judged(table(spark, folder, "documents")).drop("text_hash")
+
+
+@query
+def op5_license_scan(spark, folder):
+    return license_scan(table(spark, folder, "documents"))
+
+
+@query
+def op6_weighted_fair_mix(spark, folder):
+    return mixed(table(spark, folder, "documents"))
+
+
 @query
 def op8_ngram_jaccard(spark, folder):
     return near_duplicates(table(spark, folder, "documents"), percent=85, shingle=4)
