@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from farol.llm.licenses import PHRASES, TEMPLATES
+from farol.llm.url_filter import RULES, TERMS
 
 ORACLES: dict[str, str] = {}
 
@@ -107,3 +108,18 @@ SELECT doc_id, size, source_size, target, CAST(
   greatest(0, least(size, floor(target) - before)) + greatest(0, least(size, floor(target) - source_size - before)) AS BIGINT) AS taken
 FROM queued JOIN goals ON queued.source IS NOT DISTINCT FROM goals.source
 """
+
+# Rules as a table, the longest that fits; listed hosts by plain search.
+_RULES = ", ".join(f"('{kind}', '{host}', '{path}')" for kind, host, path in RULES)
+ORACLES["op10_url_filter"] = f"""
+WITH rules(kind, rule_host, rule_path) AS (VALUES {_RULES}),
+rest AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages),
+parts AS (
+  SELECT page_id, translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM rest),
+fits AS (
+  SELECT page_id, kind, rule_host || rule_path AS rule, row_number() OVER (PARTITION BY page_id ORDER BY length(rule_host || rule_path) DESC) AS n
+  FROM parts JOIN rules ON (host = rule_host OR suffix(host, '.' || rule_host)) AND prefix(path, rule_path))
+SELECT parts.page_id, host, path, rule, coalesce(kind, CASE WHEN regexp_matches(host, '{"|".join(TERMS)}') THEN 'block' ELSE 'allow' END) AS verdict
+FROM parts LEFT JOIN fits ON parts.page_id = fits.page_id AND n = 1
+"""

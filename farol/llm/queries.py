@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from farol.llm.common import Job
 from farol.llm.jaccard import near_duplicates
+from farol.llm.language import predicted_languages
 from farol.llm.licenses import license_scan
 from farol.llm.mixing import mixed
 from farol.llm.oracles import ORACLES
 from farol.llm.quality import judged
 from farol.llm.suffix_dedup import digest
+from farol.llm.url_filter import judged_urls
 
 QUERIES: dict[str, Job] = {}
 
@@ -44,9 +46,19 @@ def op6_weighted_fair_mix(spark, folder):
     return mixed(table(spark, folder, "documents"))
 
 
+@query
+def op7_language_id(spark, folder):
+    return predicted_languages(table(spark, folder, "documents"))
+
+
 @query
 def op8_ngram_jaccard(spark, folder):
     return near_duplicates(table(spark, folder, "documents"), percent=85, shingle=4)
 
 
+@query
+def op10_url_filter(spark, folder):
+    return judged_urls(table(spark, folder, "pages"))
+
+
 __all__ = ["ORACLES", "QUERIES"]
