@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from farol.llm.common import Job
+from farol.llm.decontaminate import contaminated
 from farol.llm.jaccard import near_duplicates
 from farol.llm.language import predicted_languages
 from farol.llm.licenses import license_scan
@@ -31,6 +32,11 @@ def op1_suffix_dedup(spark, folder):
     return digest(table(spark, folder, "documents"), length=50)
 
 
+@query
+def op2_decontaminate(spark, folder):
+    return contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("text_hash")
+
+
 @query
 def op4_quality_rules(spark, folder):
     return judged(table(spark, folder, "documents")).drop("text_hash")
