@@ -123,3 +123,50 @@ fits AS (
 SELECT parts.page_id, host, path, rule, coalesce(kind, CASE WHEN regexp_matches(host, '{"|".join(TERMS)}') THEN 'block' ELSE 'allow' END) AS verdict
 FROM parts LEFT JOIN fits ON parts.page_id = fits.page_id AND n = 1
 """
+
+# Turns in order as one text per conversation; the template and its escapes by string functions.
+ORACLES["op3_chat_tree"] = r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')),
+shown AS (
+  SELECT *, '<turn role="' || replace(replace(replace(role, '\', '\\'), '<', '\<'), '"', '\"') || '">' || chr(10)
+    || replace(replace(text, '\', '\\'), '<', '\<') || '</turn>' || chr(10) AS chat FROM rows)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text)) AS loss_sha256,
+  CAST(sum(length(chat)) AS BIGINT) AS formatted_chars
+FROM shown GROUP BY conv_id
+"""
+
+# Captures as in page_captures; each revisit takes the last of all earlier responses of its url.
+ORACLES["op9_revisits"] = r"""
+WITH bare AS (
+  SELECT *, regexp_replace(regexp_replace(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://', ''), '#.*$', '') AS u FROM pages),
+split AS (SELECT *, regexp_extract(u, '^[^?]*') AS place, regexp_extract(u, '^[^?]*\?(.*)$', 1) AS query FROM bare),
+sorted AS (
+  SELECT *, list_sort(list_filter(string_split(query, '&'), lambda p: p <> '' AND NOT starts_with(p, 'utm_')
+    AND NOT list_contains(['ref', 'fbclid', 'gclid'], split_part(p, '=', 1)))) AS kept FROM split),
+keyed AS (
+  SELECT page_id, html, regexp_replace(lower(regexp_extract(place, '^[^/]*')), '^www[.]', '') || regexp_replace(regexp_extract(place, '^[^/]*(.*)$', 1), '/+$', '')
+    || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END AS url_key FROM sorted),
+captured AS (
+  SELECT page_id, url_key, html, page_id % 3 = 2 AS revisit,
+    CASE WHEN page_id % 5 <> 0 THEN '"' || substr(md5(url_key || '/' || CAST(page_id // 4000 AS VARCHAR)), 1, 8) || '"' END AS tag,
+    CASE WHEN page_id % 2 = 0 THEN 'W/' ELSE '' END AS weak,
+    CASE WHEN page_id % 7 <> 0 THEN strftime(make_timestamp((1600000000 + (page_id // 4000) * 86400) * 1000000), '%Y-%m-%d') END AS modified,
+    strftime(make_timestamp((1600000000 + page_id * 3600) * 1000000), '%Y-%m-%d %H:%M:%S') AS date FROM keyed),
+paired AS (
+  SELECT r.*, f.page_id AS refers_to, f.tag AS full_tag, f.weak AS full_weak, f.modified AS full_modified, f.html AS full_html
+  FROM captured r LEFT JOIN captured f ON r.url_key = f.url_key AND NOT f.revisit AND f.page_id < r.page_id WHERE r.revisit
+  QUALIFY row_number() OVER (PARTITION BY r.page_id ORDER BY f.page_id DESC) = 1),
+judged AS (
+  SELECT *, CASE WHEN refers_to IS NULL THEN 'missing' WHEN tag IS NOT NULL THEN CASE WHEN tag = coalesce(full_tag, '') THEN 'resolved' ELSE 'changed' END
+    WHEN modified IS NOT NULL THEN CASE WHEN modified IS NOT DISTINCT FROM full_modified THEN 'resolved' ELSE 'changed' END ELSE 'unchecked' END AS outcome FROM paired)
+SELECT page_id AS record_id, url_key, refers_to, outcome, CASE WHEN outcome IN ('resolved', 'unchecked') THEN
+    'content-length: ' || CAST(length(full_html) AS VARCHAR) || chr(10) || 'content-type: text/html' || chr(10) || 'date: ' || date
+    || CASE WHEN tag IS NOT NULL THEN chr(10) || 'etag: ' || weak || tag WHEN full_tag IS NOT NULL THEN chr(10) || 'etag: ' || full_weak || full_tag ELSE '' END
+    || coalesce(chr(10) || 'last-modified: ' || coalesce(modified, full_modified), '') END AS headers,
+  CASE WHEN outcome IN ('resolved', 'unchecked') THEN sha256(full_html) END AS payload_sha256
+FROM judged
+"""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from farol.llm.chat_tree import chat_digests
 from farol.llm.common import Job
 from farol.llm.decontaminate import contaminated
 from farol.llm.jaccard import near_duplicates
@@ -12,6 +13,7 @@ from farol.llm.licenses import license_scan
 from farol.llm.mixing import mixed
 from farol.llm.oracles import ORACLES
 from farol.llm.quality import judged
+from farol.llm.revisits import revisit_digests
 from farol.llm.suffix_dedup import digest
 from farol.llm.url_filter import judged_urls
 
@@ -37,6 +39,14 @@ def op2_decontaminate(spark, folder):
     return contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("text_hash")
 
 
+@query
+def op3_chat_tree(spark, folder):
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    odd = "\\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", odd), (-7, 1, "assistant", odd)], "conv_id long, turn long, role string, text string")
+    return chat_digests(rows.unionByName(more))
+
+
 @query
 def op4_quality_rules(spark, folder):
     return judged(table(spark, folder, "documents")).drop("text_hash")
@@ -62,6 +72,11 @@ def op8_ngram_jaccard(spark, folder):
     return near_duplicates(table(spark, folder, "documents"), percent=85, shingle=4)
 
 
+@query
+def op9_revisits(spark, folder):
+    return revisit_digests(table(spark, folder, "pages"))
+
+
 @query
 def op10_url_filter(spark, folder):
     return judged_urls(table(spark, folder, "pages"))
