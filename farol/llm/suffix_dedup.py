@@ -6,7 +6,8 @@ into ever finer buckets until a bucket stands for that many bytes:
 1. Buckets of q bytes: every suffix gets the identifier of its first 16 bytes. A suffix is listed
    under the least identifier at its offsets 0 .. length - 16, which equal strings share whatever
    document they are in; neighbouring suffixes mostly share it too, so a document lists few buckets.
-2. A bucket of several documents is refined: the identifier for 32 bytes of a suffix is the pair of
+2. A bucket of several documents is refined, in the task that has it or, if it is a very frequent one, by
+   another shuffle on the refined identifiers: the identifier for 32 bytes of a suffix is the pair of
    its 16-byte identifier and the one at the offset 16 later, that for 64 bytes the pair of 32-byte
    ones, and so on. Refined identifiers are used again at once for the suffixes before them; the last
    step takes overlapping offsets and ends at exactly ``length`` bytes.
@@ -35,6 +36,7 @@ from farol.llm.common import Stages, ready, texts
 from farol.llm.textbytes import Rolling, as_long, mix, text_blocks
 
 Q = 16  # bytes of the first buckets
+BUCKET_ROWS = 50_000  # runs of suffixes that one task refines together
 STRETCH = 128  # mean bytes between two content-defined places
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
 ID = ["rank", "text_hash"]  # place of the document in the order, and its text: a document's identity
@@ -151,24 +153,22 @@ def _shared(length: int):
                 wanted = _open(len(data), offsets, length) & ~_covered(len(data), *_ranges(batch, row, end, offsets, "settled"))
                 least = _least(data, length)
                 owner, listed = _known(batch, row, end, offsets, "buckets")
-                pairs = mix(listed.to_numpy().view(np.uint64) + mix(owner.astype(np.uint64)))
+                pairs = mix(listed.field("bucket").to_numpy().view(np.uint64) + mix(owner.astype(np.uint64)))
+                order = np.argsort(pairs)
+                pairs, hot = pairs[order], listed.field("hot").to_numpy(zero_copy_only=False)[order]
                 starts, ends, owner = _runs(wanted, least, offsets)
-                keep = np.isin(mix(least[starts] + mix(owner.astype(np.uint64))), pairs)
-                starts, ends, owner = starts[keep], ends[keep], owner[keep]
-                stop = ends + length - 1
-                one, two = Rolling(data, 1), Rolling(data, 2)
-                size = (ends - starts).astype(np.uint64)
-                cut = _spread(starts, stop - starts)
-                edges = np.concatenate([[0], np.cumsum(stop - starts)])
+                mine = mix(least[starts] + mix(owner.astype(np.uint64)))
+                at = np.minimum(np.searchsorted(pairs, mine), len(pairs) - 1)
+                keep = pairs[at] == mine if len(pairs) else np.zeros(len(mine), bool)
+                starts, ends, owner, hot = starts[keep], ends[keep], owner[keep], hot[at[keep]]
+                size = ends - starts + length - 1
+                cut, edges = _spread(starts, size), np.concatenate([[0], np.cumsum(size)])
                 for k in range(0, len(starts), 1 << 15):
-                    part = slice(k, k + (1 << 15))
-                    some = edges[k:k + (1 << 15) + 1]
+                    part, some = slice(k, k + (1 << 15)), edges[k:k + (1 << 15) + 1]
                     blob = pa.Array.from_buffers(pa.large_binary(), len(some) - 1, [
                         None, pa.py_buffer((some - some[0]).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data[cut[some[0]:some[-1]]]))])
                     yield _rows(batch, row, owner[part], {
-                        "bucket": as_long(least[starts[part]]),
-                        "k1": as_long(mix(one.ranges(starts[part], stop[part]) + size[part])), "k2": as_long(mix(two.ranges(starts[part], stop[part]) + size[part])),
-                        "start": pa.array(starts[part] - offsets[owner[part]]), "suffixes": pa.array((ends - starts)[part]),
+                        "bucket": as_long(least[starts[part]]), "hot": pa.array(hot[part]), "start": pa.array(starts[part] - offsets[owner[part]]),
                         "bytes": blob.cast(pa.binary())})
 
     return run
@@ -199,11 +199,43 @@ def _strings(length: int):
     return run
 
 
-def _removed_starts(batch, row, end, offsets) -> tuple[np.ndarray, np.ndarray]:
-    starts, ends = _ranges(batch, row, end, offsets, "settled")
-    owner, single = _known(batch, row, end, offsets, "strings")
-    more = offsets[owner] + single.to_numpy() if len(owner) else np.zeros(0, np.int64)
-    return np.concatenate([starts, more]), np.concatenate([ends, more + 1])
+def _duplicates(rows: pa.RecordBatch, length: int) -> pa.RecordBatch:
+    """Runs of suffixes whose refined bucket has an earlier document, for rows that hold whole buckets."""
+    _, _, data, offsets = next(text_blocks(rows.column("bytes"), 1 << 62))
+    open_ = _open(len(data), offsets, length)
+    places = np.flatnonzero(open_)
+    owner = np.searchsorted(offsets, places, "right") - 1
+    k1, k2 = _refined(data, length, 1)[places], _refined(data, length, 2)[places]
+    rank = rows.column("rank").to_numpy()[owner]
+    order = np.lexsort((rank, k2, k1))
+    new = np.ones(len(order), bool)
+    new[1:] = (k1[order][1:] != k1[order][:-1]) | (k2[order][1:] != k2[order][:-1])
+    first = rank[order][new][np.cumsum(new) - 1]
+    later = np.zeros(len(data), bool)
+    later[places[order[rank[order] > first]]] = True
+    starts, ends, owner = _runs(later, np.zeros(len(data), np.int8), offsets)
+    shift = rows.column("start").to_numpy()
+    return _rows(rows, 0, owner, {"start": pa.array(shift[owner] + starts - offsets[owner]), "suffixes": pa.array(ends - starts)})
+
+
+def _grouped(length: int):
+    """Rows in the order of buckets -> duplicate runs; a bucket is held until it is complete."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            bucket = batch.column("bucket").to_numpy()
+            if not len(bucket):
+                continue
+            # rows before the last bucket of this batch complete what is held
+            ready_rows = int(np.searchsorted(bucket, bucket[-1], "left"))
+            if ready_rows or (held and held[-1].column("bucket")[0].as_py() != bucket[0]):
+                yield _duplicates(pa.concat_batches([*held, batch.slice(0, ready_rows)]), length)
+                held = []
+            held.append(batch.slice(ready_rows))
+        if held:
+            yield _duplicates(pa.concat_batches(held), length)
+
+    return run
 
 
 def _cut(length: int):
@@ -211,7 +243,7 @@ def _cut(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, end, data, offsets in text_blocks(batch.column("text")):
-                starts, ends = _removed_starts(batch, row, end, offsets)
+                starts, ends = _ranges(batch, row, end, offsets, "settled")
                 gone = _covered(len(data), starts, ends + length - 1)
                 spans, _, span_owner = _runs(gone, np.zeros(len(data), np.int8), offsets)
                 kept = data[~gone].tobytes()
@@ -240,7 +272,7 @@ def _with(docs: DataFrame, lists: DataFrame) -> DataFrame:
     return docs.join(lists, ID, "left")
 
 
-def removed(docs: DataFrame, length: int = 50) -> DataFrame:
+def removed(docs: DataFrame, length: int = 50, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """documents -> (doc_id, text_hash, n_bytes, n_removed, n_spans, kept), one row per row.
 
     Every byte goes that lies in a string of ``length`` bytes which also starts in a document with a
@@ -248,7 +280,7 @@ def removed(docs: DataFrame, length: int = 50) -> DataFrame:
     Strings are judged on the input, never cross documents, and repeat freely within one document. Texts
     that are null, empty or shorter than ``length`` lose nothing. Rows with the same doc_id do not
     count as earlier for one another; a null doc_id is later than all others. An empty table gives an
-    empty result. ``length`` is at least 16. ``text_hash`` tells apart texts with the same doc_id.
+    empty result. ``length`` is at least 16. Buckets with more than ``bucket_rows`` runs are refined over all machines. ``text_hash`` tells apart texts with the same doc_id.
     """
     spark = ready(docs.sparkSession)
     stages, docs = Stages(spark), ranked(docs)
@@ -256,30 +288,28 @@ def removed(docs: DataFrame, length: int = 50) -> DataFrame:
     ident = "rank long, text_hash long"
     stretches = stages.put("suffix-stretches", docs.mapInArrow(
         _stretches(length), f"{ident}, k1 long, k2 long, start long, suffixes long"))
-    settled = stages.put("suffix-settled", _listed(_later(stretches, "start", "suffixes").distinct(), span, "settled"))
+    settled = stages.put("suffix-settled", _listed(_later(stretches, "start", "suffixes"), span, "settled"))
     stages.drop("suffix-stretches")
 
     per_bucket = Window.partitionBy("bucket")
     listed = _with(docs.drop("doc_id"), settled).mapInArrow(_buckets(length), "rank long, bucket long")
-    several = listed.withColumn("first", F.min("rank").over(per_bucket)).withColumn("last", F.max("rank").over(per_bucket)).where("first < last")
-    buckets = stages.put("suffix-buckets", several.groupBy("rank").agg(F.collect_set("bucket").alias("buckets")))
+    several = listed.withColumn("first", F.min("rank").over(per_bucket)).withColumn("last", F.max("rank").over(per_bucket)).withColumn(
+        "hot", F.count("*").over(per_bucket) > bucket_rows).where("first < last")
+    buckets = stages.put("suffix-buckets", several.groupBy("rank").agg(F.collect_set(F.struct("bucket", "hot")).alias("buckets")))
+    any_hot = not buckets.where(F.exists("buckets", lambda b: b["hot"])).isEmpty()
 
     wanted = _with(docs.drop("doc_id"), settled).join(buckets, "rank")
-    runs = stages.put("suffix-runs", wanted.mapInArrow(
-        _shared(length), f"{ident}, bucket long, k1 long, k2 long, start long, suffixes long, bytes binary"))
-    stages.drop("suffix-buckets")
-    later = stages.put("suffix-later", _later(runs.drop("bytes"), "start", "suffixes").distinct())
-    rest = runs.join(later.select(*ID, "start"), [*ID, "start"], "left_anti")
-    rest = rest.withColumn("first", F.min("rank").over(per_bucket)).withColumn("last", F.max("rank").over(per_bucket)).where("first < last")
-    strings = rest.select(*ID, "start", "bytes").mapInArrow(_strings(length), f"{ident}, k1 long, k2 long, start long")
-    same = Window.partitionBy("k1", "k2")
-    single = strings.withColumn("first", F.min("rank").over(same)).where("rank > first").select(*ID, "start").distinct()
-    single = stages.put("suffix-strings", _listed(single, F.col("start"), "strings"))
-    stages.drop("suffix-runs")
-
-    spans = settled.select(*ID, F.explode("settled").alias("span")).unionByName(later.select(*ID, span.alias("span")))
-    spans = _listed(spans, F.col("span"), "settled")
-    return _with(_with(docs, spans), single).mapInArrow(
+    runs = wanted.mapInArrow(_shared(length), f"{ident}, bucket long, hot boolean, start long, bytes binary")
+    spans = settled.select(*ID, F.inline("settled"))
+    in_bucket = runs.where("not hot").drop("hot").repartition("bucket").sortWithinPartitions("bucket")
+    spans = spans.unionByName(in_bucket.mapInArrow(_grouped(length), f"{ident}, start long, suffixes long"))
+    if any_hot:
+        strings = runs.where("hot").select(*ID, "start", "bytes").mapInArrow(_strings(length), f"{ident}, k1 long, k2 long, start long")
+        first = F.min("rank").over(Window.partitionBy("k1", "k2"))
+        spans = spans.unionByName(strings.withColumn("first", first).where("rank > first").select(*ID, "start", F.lit(1).cast("long").alias("suffixes")))
+    spans = stages.put("suffix-spans", _listed(spans, span, "settled"))
+    stages.drop("suffix-buckets", "suffix-settled")
+    return _with(docs, spans).mapInArrow(
         _cut(length), "doc_id long, text_hash long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
