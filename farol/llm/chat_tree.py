@@ -1,7 +1,7 @@
 """Chat formatting in prefix trees: turns that conversations share from the start are emitted once.
 
-A turn is formatted as ``<turn role="R">``, a line break, the text, ``</turn>`` and a line break; backslashes and ``<``
-in texts (and quotes in roles) get a backslash before them, so no text can hold a control string and
+A turn is formatted as ``<turn role="R">``, a line break, the text, ``</turn>`` and a line break; in texts and roles
+a backslash is written ``\\\\``, ``<`` is ``\\l`` and a quote in a role ``\\q``, so none can hold a control string and
 everything can be read back. Different conversations are sorted by the hashes of their turns, which is the
 depth-first order of their tree, and range-partitioned, so conversations with a common first turn may lie
 in many partitions. Each task cuts its sorted run into packs of at most ``pack_size`` tokens (a longer
@@ -23,21 +23,23 @@ from pyspark.sql import functions as F
 
 from farol.llm.common import Stages, ready
 
-TURN = re.compile(r'<turn role="([^\\"]*(?:\\.[^\\"]*)*)">\n([^\\<]*(?:\\.[^\\<]*)*)</turn>\n', re.DOTALL)
+TURN = re.compile(r'<turn role="([^"<]*)">\n([^<]*)</turn>\n')
 TRAINED = "assistant"  # the role whose texts are under the loss mask
+CODES = {"\\": "\\", "<": "l", '"': "q"}
 
 
-def escaped(text: str, controls: str = "\\<") -> str:
-    return re.sub(f"[{re.escape(controls)}]", lambda m: "\\" + m[0], text)
+def escaped(text: str, controls: str = r"[\\<]") -> str:
+    return re.sub(controls, lambda m: "\\" + CODES[m[0]], text)
 
 
 def unescaped(text: str) -> str:
-    return re.sub(r"\\(.)", r"\1", text, flags=re.DOTALL)
+    back = {code: char for char, code in CODES.items()}
+    return re.sub(r"\\(.)", lambda m: back[m[1]], text)
 
 
 def formatted(role: str, text: str) -> tuple[str, int, int]:
     """A formatted turn and the place of its escaped text."""
-    head, body = f'<turn role="{escaped(role, chr(92) + "<" + chr(34))}">\n', escaped(text)
+    head, body = f'<turn role="{escaped(role, r"[\\<\"]")}">\n', escaped(text)
     return f"{head}{body}</turn>\n", len(head), len(head) + len(body)
 
 

@@ -12,8 +12,10 @@ Units are allocated by cost, the number of sets that a unit would make candidate
 index key links its members to the least of them, the best such link of each set is verified and
 components are formed: sets of one component need no further comparison, so a key whose members are
 all in one component costs nothing. Only sets without enough free units take the cheapest of the
-others, and all their candidates are verified. Every pair that links different components is thus
-found, while a group of n copies costs about n comparisons.
+others. A candidate pair is passed on for verification only if the parity sketches of its sets (for
+each of 512 bins, whether it has an odd number of shingles) differ in no more bins than similar sets may
+differ in shingles, which drops no similar pair. Every pair that links different components is thus found,
+while a group of n copies costs about n verifications.
 
 Nodes are distinct shingle sets, named by a 64-bit fingerprint, so copies of a text, repeated rows
 and rows without a doc_id need no care of their own: they have the node of their set.
@@ -33,6 +35,7 @@ from farol.llm.components import components
 from farol.llm.textbytes import Rolling, as_long, mix, shingles, text_blocks
 
 _HALF = np.uint64(32)
+BINS = 512
 OWN, DELETED = 1, 2  # flags of a key: of the set's own size band; of a subset without one of its shingles
 
 
@@ -72,11 +75,19 @@ def _sets(percent: int, shingle: int):
                 yield pa.RecordBatch.from_arrays([
                     batch.column("doc_id")[row:end], batch.column("text_hash")[row:end], pa.array(sizes), pa.array(_nodes(owner, value, sizes).view(np.int64), mask=sizes == 0),
                     pa.array(np.where(sizes > bands.tops[0], bands.differing(sizes) + 1, 0)),
-                    pa.array(bands.segments[band] + bands.designated[band])], ["doc_id", "text_hash", "n_shingles", "node", "needed", "units"])
+                    pa.array(bands.segments[band] + bands.designated[band]), _sketches(owner, value, end - row)],
+                    ["doc_id", "text_hash", "n_shingles", "node", "needed", "units", "sketch"])
 
     return run
 
 
+def _sketches(owner: np.ndarray, value: np.ndarray, rows: int) -> pa.Array:
+    """Parities of the shingles in each bin, as longs."""
+    counts = np.bincount(owner * BINS + (value & np.uint64(BINS - 1)).astype(np.int64), minlength=rows * BINS)
+    longs = np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, len(longs) + 1, BINS // 64, dtype=np.int32)), pa.array(longs))
+
+
 def _nodes(owner: np.ndarray, value: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Fingerprint of each shingle set."""
     sums = np.zeros(len(sizes), np.uint64)
@@ -196,34 +207,40 @@ def _remaining(shared: DataFrame, stars: DataFrame, labels: DataFrame, nodes: Da
         "costly", F.count("*").over(Window.partitionBy("node")))
     chosen = ranked.where("rank <= needed - (units - costly)").select("node", "seat", "unit")
 
-    small = rows.where("own").select("key", "node", "seat", "label", F.col("n_shingles").alias("size"), "deleted").join(chosen, ["node", "seat"]).select(
-        "key", F.col("node").alias("small"), F.col("label").alias("small_label"), "size", F.col("deleted").alias("cut"), "unit")
-    large = rows.select("key", "node", "label", "n_shingles", "deleted")
+    sketches = nodes.select("node", "sketch")
+    small = rows.where("own").join(chosen, ["node", "seat"]).join(sketches, "node").select(
+        "key", F.col("node").alias("small"), F.col("label").alias("small_label"), F.col("n_shingles").alias("size"), F.col("deleted").alias("cut"), "unit",
+        F.col("sketch").alias("small_sketch"))
+    small = stages.put("jaccard-chosen", small)
+    large = rows.join(small.select("key").distinct(), "key", "left_semi").select("key", "node", "label", "n_shingles", "deleted").join(sketches, "node")
+    # sets of a + b shingles share at least percent / (100 + percent) of them if they are similar
+    differing = " + ".join(f"bit_count(small_sketch[{k}] ^ sketch[{k}])" for k in range(BINS // 64))
+    allowed = f"size + n_shingles - 2 * (((size + n_shingles) * {percent} + {99 + percent}) div {100 + percent})"
     met = small.join(large, "key").where(
         f"label != small_label and n_shingles >= size and n_shingles * {percent} <= size * 100 and not (cut and deleted)"
-        " and if(cut or deleted, unit = 2, unit = 1)")
+        f" and if(cut or deleted, unit = 2, unit = 1) and {differing} <= {allowed}")
     return met.select(F.least("small", "node").alias("a"), F.greatest("small", "node").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5) -> DataFrame:
-    """documents -> (doc_id, n_shingles, component_id), one row per row.
+    """documents -> (doc_id, n_shingles, component_id, text_hash, stays), one row per row.
 
     Two documents link when 100 * shared shingles >= percent * all their shingles; ``component_id`` is the
     least doc_id reachable by links, the document's own included. ``percent`` is above 50 and below 100.
     Words are runs without white space, A-Z as a-z; a text with fewer words than ``shingle`` has one shingle,
     its whole sequence. Null, empty and blank texts have no shingle and link with nothing: their component is
-    their own id. Repeated rows and copies link. A null doc_id links like any other and gets the least id of
+    their own id. Repeated rows and copies link. ``stays`` marks the first document of each component. A null doc_id links like any other and gets the least id of
     its component, null if there is none. An empty table gives an empty result. Shingles are compared by
     64-bit fingerprints.
     """
     spark = ready(docs.sparkSession)
     stages, docs = Stages(spark), texts(docs)
     sets = stages.put("jaccard-sets", docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(
-        _sets(percent, shingle), "doc_id long, text_hash long, n_shingles long, node long, needed long, units long"))
+        _sets(percent, shingle), "doc_id long, text_hash long, n_shingles long, node long, needed long, units long, sketch array<long>"))
     nodes = stages.put("jaccard-nodes", sets.where("node is not null").groupBy("node").agg(
         F.min(F.struct("doc_id", "text_hash")).alias("first"), F.first("n_shingles").alias("n_shingles"),
-        F.first("needed").alias("needed"), F.first("units").alias("units")).select(
-        "node", F.col("first.doc_id").alias("first_doc"), F.col("first.text_hash").alias("first_text"), "n_shingles", "needed", "units"))
+        F.first("needed").alias("needed"), F.first("units").alias("units"), F.first("sketch").alias("sketch")).select(
+        "node", F.col("first.doc_id").alias("first_doc"), F.col("first.text_hash").alias("first_text"), "n_shingles", "needed", "units", "sketch"))
 
     per_key = Window.partitionBy("key")
     keys = docs.mapInArrow(_keys(percent, shingle), "key long, node long, meta int")
@@ -239,9 +256,21 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5) -> Dat
 
     rest = _verified(_remaining(shared, stars, labels, nodes, percent, stages), nodes, docs, percent, shingle, stages, "jaccard-rest")
     labels = components(links.unionByName(rest), stages, "jaccard-all")
-    stages.drop("jaccard-shared", "jaccard-stars", "jaccard-apart", "jaccard-mixed")
+    stages.drop("jaccard-shared", "jaccard-stars", "jaccard-apart", "jaccard-mixed", "jaccard-chosen")
 
     named = sets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    least = named.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("least_id"))
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
+    least = named.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("least_id"), F.min(place).alias("first"))
+    alone = F.col("label").isNull()
     return named.join(least, "label", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("least_id")).alias("component_id"))
+        "doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("least_id")).alias("component_id"),
+        "text_hash", (alone | (place == F.col("first"))).alias("stays"))
+
+
+def without_near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5) -> DataFrame:
+    """The rows and columns of ``docs``, of each component only its first document by doc_id (null last) and text hash."""
+    stays = near_duplicates(docs, percent, shingle).where("stays").select(
+        F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    rows = docs.withColumn("__text_hash", F.xxhash64(docs["text"].cast("string"))).withColumn("__doc_id", docs["doc_id"].cast("long"))
+    rows = rows.join(stays, F.col("__doc_id").eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__hash")), "left_semi")
+    return rows.dropDuplicates(["__doc_id", "__text_hash"]).select(*[rows[c] for c in docs.columns])

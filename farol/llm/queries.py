@@ -69,7 +69,7 @@ def op7_language_id(spark, folder):
 
 @query
 def op8_ngram_jaccard(spark, folder):
-    return near_duplicates(table(spark, folder, "documents"), percent=85, shingle=4)
+    return near_duplicates(table(spark, folder, "documents"), percent=85, shingle=4).select("doc_id", "n_shingles", "component_id")
 
 
 @query
