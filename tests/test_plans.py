@@ -8,6 +8,7 @@ from conftest import SMALL, rows
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from farol.catalog import ORACLES, QUERIES
 from farol.operators.ranking import first_rows
 from farol.plans import beds, order_views, purchases, questions, reference, stock
 from farol.session import as_of_date
@@ -39,7 +40,7 @@ def test_entry(spark):
 
 def test_every_oracle_belongs_to_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"sample_stable"}
+    assert set(QUERIES) - set(ORACLES) == {"sample_stable"}
 
 
 @pytest.mark.parametrize("name", COMPARED)
@@ -52,7 +53,7 @@ def test_query_equals_sql(spark, sql, name):
 
 
 def test_no_query_pairs_everything_or_sorts_in_one_task(spark):
-    for name, job in entry.queries().items():
+    for name, job in QUERIES.items():
         if name.startswith(WRITES_FILES):
             continue
         text = plan(job(spark, SMALL))
