@@ -13,15 +13,18 @@ from farol.sources import listing
 _WHITE = r"E' \t\n\r'"
 
 
-@query("clean_text", f"""SELECT doc_id, md5(t) AS cleaned FROM (
-SELECT doc_id, upper(replace(trim(CASE WHEN lang = 'fr' THEN ' n/a ' ELSE text END, {_WHITE}), 'ß', 'SS')) AS u,
-CASE WHEN u IN ('NAN', 'NONE', '', 'N/A') THEN NULL ELSE u END AS t FROM documents)""")
+_CLEAN = "NULLIF(NULLIF(NULLIF(NULLIF(upper(replace(trim({c}, " + _WHITE + "), 'ß', 'SS')), 'NAN'), 'NONE'), ''), 'N/A')"
+
+
+@query("clean_text", f"""SELECT doc_id, md5({_CLEAN.format(c='text')}) AS cleaned,
+{_CLEAN.format(c="CASE WHEN lang = 'fr' THEN ' n/a ' ELSE lang END")} AS language FROM documents""")
 def clean_text(spark, folder):
-    raw = F.when(F.col("lang") == "fr", " n/a ").otherwise(F.col("text"))
-    return table(spark, folder, "documents").select("doc_id", F.md5(text.clean_text(raw)).alias("cleaned"))
+    lang = F.when(F.col("lang") == "fr", " n/a ").otherwise(F.col("lang"))
+    return table(spark, folder, "documents").select(
+        "doc_id", F.md5(text.clean_text(F.col("text"))).alias("cleaned"), text.clean_text(lang).alias("language"))
 
 
-@query("digits_only", r"""SELECT doc_id, COALESCE(regexp_replace(regexp_replace(text, '\.0\z', ''), '[^0-9]', '', 'g'), '')
+@query("digits_only", r"""SELECT doc_id, COALESCE(regexp_replace(regexp_replace(text, '\.0+\z', ''), '[^0-9]', '', 'g'), '')
 AS digits FROM documents""")
 def digits_only(spark, folder):
     return table(spark, folder, "documents").select("doc_id", text.digits_only(F.col("text")).alias("digits"))
@@ -177,7 +180,7 @@ def swap_repair(spark, folder):
     ident, name = F.col("o_custkey").cast("string"), F.col("c_name")
     broken = rows.select("o_orderkey", "o_orderpriority", F.when(swapped, name).otherwise(ident).alias("ident"),
                          F.when(swapped, ident).otherwise(name).alias("name"))
-    return shaping.repair_swaps(broken, [("ident", "name")], "o_orderpriority", ["o_orderkey"])
+    return shaping.repair_swaps(broken, [("ident", "name")], "o_orderpriority")
 
 
 @query("display_labels", """SELECT p_partkey, array_to_string(list_transform(string_split(replace(lower(p_name), ' ', '_'), '_'),

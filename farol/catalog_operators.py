@@ -67,16 +67,16 @@ def top_values(spark, folder):
 def _profile_rows(spark, folder):
     """Orders with nulls, of which the tables have none."""
     return table(spark, folder, "orders").select(
-        "o_orderkey", F.nullif("o_orderstatus", F.lit("F")).alias("o_orderstatus"),
-        F.nullif("o_orderpriority", F.lit("5-LOW")).alias("o_orderpriority"),
-        F.when(F.col("o_totalprice") > 100000, F.col("o_totalprice")).alias("o_totalprice"))
+        "o_orderkey", "o_custkey", F.nullif("o_orderstatus", F.lit("F")).alias("o_orderstatus"),
+        F.when(F.col("o_totalprice") > 100000, F.col("o_totalprice")).alias("o_totalprice"), "o_orderdate",
+        F.nullif("o_orderpriority", F.lit("5-LOW")).alias("o_orderpriority"))
 
 
-_PROFILE = """WITH o AS (SELECT o_orderkey, NULLIF(o_orderstatus, 'F') AS o_orderstatus,
+_PROFILE = """WITH o AS (SELECT o_orderkey, o_custkey, o_orderdate, NULLIF(o_orderstatus, 'F') AS o_orderstatus,
 NULLIF(o_orderpriority, '5-LOW') AS o_orderpriority, CASE WHEN o_totalprice > 100000 THEN o_totalprice END AS o_totalprice
 FROM orders)
 """
-_PROFILE_COLUMNS = ["o_orderkey", "o_orderstatus", "o_orderpriority", "o_totalprice"]
+_PROFILE_COLUMNS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
 
 
 def _per_column(template: str, columns: list[str], tail: str = "") -> str:
@@ -100,7 +100,7 @@ def missing_only(spark, folder):
 
 @query("table_info", _PROFILE + "SELECT * FROM (" + "\nUNION ALL ".join(
     f"SELECT '{c}' AS \"column\", COUNT({c}) AS non_null, '{t}' AS type FROM o"
-    for c, t in zip(_PROFILE_COLUMNS, ["bigint", "string", "string", "double"])) + ")")
+    for c, t in zip(_PROFILE_COLUMNS, ["bigint", "bigint", "string", "double", "timestamp_ntz", "string"])) + ")")
 def table_info(spark, folder):
     return profile.table_info(_profile_rows(spark, folder))
 
@@ -124,11 +124,11 @@ def nunique_all(spark, folder):
     return profile.distinct_counts(table(spark, folder, "lineitem"))
 
 
-_NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+_NUMBERS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
 @query("describe_exact", "SELECT * FROM (" + _per_column(
-    "SELECT '{c}' AS \"column\", COUNT({c}) AS count, round(CAST(SUM(CAST({c} AS DECIMAL(24,6))) AS DOUBLE) / COUNT({c}), 6) AS mean, "
+    "SELECT '{c}' AS \"column\", COUNT({c}) AS count, round(avg({c}), 6) AS mean, "
     "round(stddev_samp({c}), 6) AS std, MIN({c}) AS min, MAX({c}) AS max, round(quantile_cont({c}, 0.25), 6) AS q25, "
     "round(quantile_cont({c}, 0.5), 6) AS q50, round(quantile_cont({c}, 0.75), 6) AS q75 FROM lineitem", _NUMBERS) + ")")
 def describe_exact(spark, folder):
@@ -154,7 +154,7 @@ def grouped_quantiles(spark, folder):
     return out.withColumns({p: F.round(p, 6) for p in points})
 
 
-@query("sample_stable")
+@query("sample_stable", "SELECT * FROM orders ORDER BY md5('42-' || CAST(o_orderkey AS VARCHAR)), o_orderkey LIMIT 10")
 def sample_stable(spark, folder):
     """A sampling operator: the ten rows are its result."""
     return ranking.stable_sample(table(spark, folder, "orders"), ["o_orderkey"], 10)
@@ -292,7 +292,7 @@ SELECT conv_id, turn, round(CASE WHEN first = 0 OR usable = 0 THEN 0 ELSE exp(lo
 
 @query("pair_bleu", _BLEU)
 def pair_bleu(spark, folder):
-    return _turns(spark, folder).select("conv_id", "turn", F.round(bleu("original", "paraphrase"), 6).alias("score"))
+    return bleu(_turns(spark, folder), ["conv_id", "turn"], "original", "paraphrase").withColumn("score", F.round("score", 6))
 
 
 def _records(spark, folder):

@@ -11,12 +11,20 @@ OFFSET_FORMATS = [
     "yyyy-MM-dd HH:mm:ssX", "yyyy-MM-dd HH:mm:ss X", "yyyy-MM-dd HH:mm:ss.SSSX",
     "yyyy/MM/dd HH:mm:ssX", "yyyy/MM/dd HH:mm:ss X", "yyyy-MM-dd'T'HH:mm:ssX",
 ]
+ISO_FORMAT = "yyyy-MM-dd'T'HH:mm:ss"
 MONTH_FORMAT = "yyyyMM"
 
 
 def date_of(c: Column, formats: list[str] | None = None) -> Column:
-    """First format that fits, null where none does."""
-    return F.coalesce(*[F.try_to_date(c, f) for f in formats or DATE_FORMATS])
+    """First format that fits, null where none does; a time with an offset gives its day in UTC.
+
+    Only texts longer than a date and a time without offset are tried with one.
+    """
+    plain = [F.try_to_date(c, f) for f in formats or DATE_FORMATS]
+    if formats:
+        return F.coalesce(*plain)
+    offsets = [F.try_to_timestamp(c, F.lit(f)).cast("date") for f in OFFSET_FORMATS]
+    return F.coalesce(*plain, F.try_to_date(c, ISO_FORMAT), F.when(F.length(c) > 19, F.coalesce(*offsets)))
 
 
 def month_of(c: Column) -> Column:

@@ -48,10 +48,11 @@ def comma_decimal(c: Column, precision: int = 20, scale: int = 4) -> Column:
 def point_style_hint(c: Column) -> Column:
     """Aggregate: true when a whole column writes decimals with a point.
 
-    A comma anywhere, or only groups of three digits after points, means the Brazilian style.
+    A comma anywhere, or only groups of three digits after points, means the Brazilian style; a number that
+    starts with a zero before its point has no thousands.
     """
     has_comma = F.bool_or(F.contains(c, F.lit(",")))
-    has_point_fraction = F.bool_or(c.rlike(r"\.(\d{1,2}|\d{4,})$"))
+    has_point_fraction = F.bool_or(c.rlike(r"\.(\d{1,2}|\d{4,})\s*$|^\D*0+\.\d"))
     return F.coalesce(has_point_fraction, F.lit(False)) & ~F.coalesce(has_comma, F.lit(False))
 
 

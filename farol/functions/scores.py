@@ -2,13 +2,8 @@
 
 from __future__ import annotations
 
-import math
-from collections import Counter
-
-import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -23,36 +18,45 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(total(product(a, b)), norms)
 
 
-def _clipped_matches(reference: list[str], candidate: list[str], n: int) -> tuple[int, int]:
-    grams = Counter(zip(*(candidate[i:] for i in range(n))))
-    known = Counter(zip(*(reference[i:] for i in range(n))))
-    return sum(min(count, known[g]) for g, count in grams.items()), max(len(candidate) - n + 1, 1)
+def _grams(words: Column, n: int) -> Column:
+    """All runs of n words, as (n, gram)."""
+    runs = F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.struct(
+        F.lit(n).alias("n"), F.array_join(F.slice(words, i, n), " ").alias("gram")))
+    return F.when(F.size(words) >= n, runs).otherwise(F.array().cast("array<struct<n:int,gram:string>>"))
 
 
-def sentence_bleu(reference: str, candidate: str) -> float:
-    """BLEU-4 of one pair with the length-scaled smoothing of Chen and Cherry (2014), method 4.
+def bleu(pairs: DataFrame, keys: list[str], reference: str, candidate: str, name: str = "score") -> DataFrame:
+    """BLEU-4 per pair, with the length-scaled smoothing of Chen and Cherry (2014), method 4; null for null text.
 
     A zero match count at order n becomes ``1 / (2**k * 5 / ln(length))`` over the n-gram
-    count, where k numbers the zero orders; a candidate of one token keeps a plain zero.
+    count, where k numbers the zero orders; a candidate of one token keeps a plain zero. ``keys`` tell the pairs apart.
     """
-    ref, cand = (reference or "").split(), (candidate or "").split()
-    matches, sizes = zip(*(_clipped_matches(ref, cand, n) for n in range(1, 5)))
-    if matches[0] == 0:
-        return 0.0
-    smoothing, logs = 1, 0.0
-    for match, size in zip(matches, sizes):
-        precision = match / size
-        if match == 0 and len(cand) > 1:
-            precision = 1 / (2**smoothing * 5 / math.log(len(cand))) / size
-            smoothing += 1
-        if precision == 0:
-            return 0.0
-        logs += 0.25 * math.log(precision)
-    brevity = 1.0 if len(cand) > len(ref) else math.exp(1 - len(ref) / len(cand))
-    return brevity * math.exp(logs)
-
-
-@F.pandas_udf(T.DoubleType())
-def bleu(reference: pd.Series, candidate: pd.Series) -> pd.Series:
-    """BLEU per row over Arrow batches."""
-    return pd.Series([sentence_bleu(a, b) for a, b in zip(reference, candidate)], dtype="float64")
+    def words(text: str) -> Column:
+        return F.filter(F.split(text, r"\s+"), lambda w: w != "")
+
+    rows = pairs.select(*keys, words(reference).alias("__r"), words(candidate).alias("__c"))
+
+    def side(column: str, mark: int) -> DataFrame:
+        grams = F.concat(*[_grams(F.col(column), n) for n in range(1, 5)])
+        return rows.select(*keys, F.lit(mark).alias("__side"), F.inline(grams))
+
+    # every n-gram counts as often as it stands in both texts
+    counts = side("__r", 0).unionByName(side("__c", 1)).groupBy(*keys, "n", "gram").agg(
+        F.count_if(F.col("__side") == 0).alias("known"), F.count_if(F.col("__side") == 1).alias("found"))
+    hits = counts.where("known > 0 and found > 0").groupBy(*keys).agg(*[
+        F.sum(F.when(F.col("n") == n, F.least("known", "found")).otherwise(0)).alias(f"__m{n}") for n in range(1, 5)])
+    hits = hits.withColumnsRenamed({k: f"__key{i}" for i, k in enumerate(keys)})
+    joined = rows.join(hits, [F.col(k).eqNullSafe(F.col(f"__key{i}")) for i, k in enumerate(keys)], "left").select(
+        *keys, F.size("__r").cast("double").alias("__lr"), F.size("__c").cast("double").alias("__lc"),
+        F.col("__r").isNull().alias("__no_r"), F.col("__c").isNull().alias("__no_c"), *[F.coalesce(f"__m{n}", F.lit(0)).alias(f"__m{n}") for n in range(1, 5)])
+    logs, zeros = F.lit(0.0), F.lit(0)
+    for n in range(1, 5):
+        none, size = F.col(f"__m{n}") == 0, F.greatest(F.col("__lc") - (n - 1), F.lit(1.0))
+        zeros = zeros + F.when(none, 1).otherwise(0)
+        smooth = F.ln("__lc") / (F.pow(F.lit(2.0), zeros) * 5)
+        logs = logs + 0.25 * F.ln(F.when(none, smooth).otherwise(F.col(f"__m{n}").cast("double")) / size)
+    brevity = F.when(F.col("__lc") > F.col("__lr"), 1.0).otherwise(F.exp(1 - F.col("__lr") / F.col("__lc")))
+    lost = F.greatest(*[F.when(F.col(f"__m{n}") == 0, 1).otherwise(0) for n in range(1, 5)]) == 1
+    score = F.when(F.col("__no_r") | F.col("__no_c"), F.lit(None)).when(
+        (F.col("__m1") == 0) | (lost & (F.col("__lc") <= 1)), 0.0).otherwise(brevity * F.exp(logs))
+    return joined.select(*keys, score.cast("double").alias(name))

@@ -76,8 +76,12 @@ def text_or_empty(c: Column) -> Column:
 
 
 def digits_only(c: Column) -> Column:
-    """Keep digits; a trailing ``.0`` left by a float export goes first; null gives ''."""
-    return text_or_empty(F.regexp_replace(F.regexp_replace(c, r"\.0\z", ""), "[^0-9]", ""))
+    """Keep digits; null gives ''.
+
+    The traces of a float export go first: a fraction of zeros, and the exponent form of a whole number.
+    """
+    whole = F.when(c.rlike(r"\A\d(\.\d+)?[eE]\+?\d{1,2}\z"), c.try_cast("decimal(38,0)").cast("string"))
+    return text_or_empty(F.regexp_replace(F.regexp_replace(F.coalesce(whole, c), r"\.0+\z", ""), "[^0-9]", ""))
 
 
 def padded_code(c: Column, width: int) -> Column:

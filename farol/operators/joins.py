@@ -1,8 +1,7 @@
 """Joins against dimensions, reference tables and one-row aggregates.
 
-Reference tables of fixed size (states, regions) are broadcast by name. Every other side
-grows with the data, so it carries no hint: adaptive execution broadcasts it only when its
-measured size is below ``spark.sql.autoBroadcastJoinThreshold``.
+No side carries a hint: adaptive execution broadcasts one only when its measured size is below
+``spark.sql.autoBroadcastJoinThreshold``.
 """
 
 from __future__ import annotations
@@ -12,25 +11,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Upper bound of rows for a table broadcast by name: states, regions, their populations.
-FIXED_TABLE_ROWS = 100
-
-
 def _null_safe(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]]) -> Column:
     return reduce(lambda a, b: a & b, [left[a].eqNullSafe(right[b]) for a, b in pairs])
 
 
-def fixed_table(df: DataFrame) -> DataFrame:
-    """Broadcast a table that has at most ``FIXED_TABLE_ROWS`` rows by definition.
-
-    The bound is part of the plan: one row more than allowed stops the job.
-    """
-    row = df.limit(FIXED_TABLE_ROWS + 1).agg(F.collect_list(F.struct("*")).alias("rows"))
-    small = F.when(F.size("rows") <= FIXED_TABLE_ROWS, F.col("rows")).otherwise(
-        F.raise_error(F.lit("reference table is too large to broadcast")))
-    return F.broadcast(row.select(F.inline(small)))
-
-
 def lookup(fact: DataFrame, dim: DataFrame, on: dict[str, str], take: list[str]) -> DataFrame:
     """Left join that adds ``take`` from a dimension with unique keys; null = null matches."""
     side = dim.select(*[F.col(d).alias(f"__k{i}") for i, d in enumerate(on.values())], *take)

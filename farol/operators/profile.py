@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from farol.functions.numeric import mean_of
 from farol.operators.quantiles import exact_quantiles
 from farol.operators.ranking import first_rows
 
@@ -68,9 +67,8 @@ def distinct_counts(df: DataFrame, columns: list[str] | None = None) -> DataFram
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
     """Count, mean, sample deviation, minimum, exact quartiles and maximum per column."""
     long = _long(df, columns, "double").where(F.col("value").isNotNull())
-    decimal = F.col("value").try_cast("decimal(24,6)")
     moments = long.groupBy("column").agg(
-        F.count("*").alias("count"), mean_of(decimal).alias("mean"), F.stddev_samp("value").alias("std"),
+        F.count("*").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
         F.min("value").alias("min"), F.max("value").alias("max"))
     quartiles = exact_quantiles(long, ["column"], "value", {"q25": 0.25, "q50": 0.5, "q75": 0.75})
     return moments.join(quartiles, "column")

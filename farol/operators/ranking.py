@@ -58,8 +58,9 @@ def duplicate_total(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def stable_sample(df: DataFrame, keys: list[str], n: int, seed: int = 42) -> DataFrame:
-    """n rows in an order fixed by key and seed; repeatable on any partitioning."""
-    return df.orderBy(F.xxhash64(F.lit(seed), *keys), *keys).limit(n)
+    """n rows in the order of a hash of seed and keys; repeatable on any partitioning and in any engine."""
+    text = [F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]
+    return df.orderBy(F.md5(F.concat_ws("-", F.lit(str(seed)), *text)), *keys).limit(n)
 
 
 def max_then_sum(df: DataFrame, unit: list[str], period: str, metrics: list[str]) -> DataFrame:

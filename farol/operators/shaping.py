@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from farol.functions import dates, numeric, text
@@ -27,6 +27,9 @@ def rules(lines: str) -> list[Rule]:
     return [Rule(*line.split()) for line in lines.strip().splitlines()]
 
 
+#: Prefix of the columns that hold ``style_flags``.
+POINTED = "__pointed_"
+
 # Spark type per rule type.
 KIND_TYPES = {
     "text": "string", "int": "int", "decimal": "decimal(20,4)", "latlong": "decimal(12,9)",
@@ -34,14 +37,18 @@ KIND_TYPES = {
 }
 
 
-def typed(c: Column, kind: str) -> Column:
-    """Text to the rule's type; whatever does not parse becomes null (0 for integers)."""
+def typed(c: Column, kind: str, pointed: Column | None = None) -> Column:
+    """Text to the rule's type; whatever does not parse becomes null (0 for integers).
+
+    ``pointed`` says of a decimal that its whole column writes decimals with a point.
+    """
     if kind == "text":
         return text.text_or_empty(c)
     if kind == "int":
         return numeric.int_or_zero(c)
     if kind == "decimal":
-        return numeric.br_decimal(c)
+        plain = numeric.br_decimal(c)
+        return plain if pointed is None else F.when(pointed, numeric.br_decimal(c, point_style=True)).otherwise(plain)
     if kind == "latlong":
         # a coordinate has no thousands points
         return numeric.comma_decimal(c, 12, 9)
@@ -56,7 +63,13 @@ def rule_column(df: DataFrame, rule: Rule) -> Column:
     if rule.source in LITERALS:
         return F.lit(LITERALS[rule.source]).alias(rule.target)
     source = F.col(rule.source) if rule.source in df.columns else F.lit(None).cast("string")
-    return typed(source, rule.kind).alias(rule.target)
+    flag = f"{POINTED}{rule.source}"
+    return typed(source, rule.kind, F.col(flag) if flag in df.columns else None).alias(rule.target)
+
+
+def style_flags(df: DataFrame, columns: list[str], group: str) -> DataFrame:
+    """Per group, whether each column writes its decimals with a point."""
+    return df.groupBy(group).agg(*[numeric.point_style_hint(F.col(c)).alias(f"{POINTED}{c}") for c in columns])
 
 
 def project(df: DataFrame, wanted: list[Rule], keep: list[str] | None = None) -> DataFrame:
@@ -86,17 +99,10 @@ def resolve_aliases(columns: list[str], accepted: dict[str, list[str]]) -> dict[
     return chosen
 
 
-def swap_flags(df: DataFrame, pairs: list[tuple[str, str]], group: str, order: list[str | Column],
-               sample: int = 100) -> DataFrame:
-    """Per group and id column, whether its first non-null values hold names; one pass for all pairs."""
-    idents = [ident for ident, _ in pairs]
-    ordered = df.select(group, F.struct(*order).alias("__order"), *idents)
-    long = ordered.unpivot([group, "__order"], idents, "__ident", "__value").where(F.col("__value").isNotNull())
-    window = Window.partitionBy(group, "__ident").orderBy("__order")
-    head = long.withColumn("__rn", F.row_number().over(window)).where(F.col("__rn") <= sample)
-    named = F.bool_or(F.col("__value").rlike("[A-Z]"))
-    return head.groupBy(group).pivot("__ident", idents).agg(named).select(
-        group, *[F.col(c).alias(f"__swap_{c}") for c in idents])
+def swap_flags(df: DataFrame, pairs: list[tuple[str, str]], group: str) -> DataFrame:
+    """Per group and id column, whether most of its values are names; one pass for all pairs."""
+    return df.groupBy(group).agg(*[
+        (F.count_if(F.col(ident).rlike("[A-Z]")) * 2 > F.count(ident)).alias(f"__swap_{ident}") for ident, _ in pairs])
 
 
 def apply_swaps(df: DataFrame, flags: DataFrame, pairs: list[tuple[str, str]], group: str) -> DataFrame:
@@ -111,10 +117,10 @@ def apply_swaps(df: DataFrame, flags: DataFrame, pairs: list[tuple[str, str]], g
     return out.withColumns(fixed).select(*df.columns)
 
 
-def repair_swaps(df: DataFrame, pairs: list[tuple[str, str]], group: str, order: list[str | Column]) -> DataFrame:
+def repair_swaps(df: DataFrame, pairs: list[tuple[str, str]], group: str) -> DataFrame:
     """Put id and name columns back in the groups (files) where they are exchanged."""
     present = [(a, b) for a, b in pairs if a in df.columns and b in df.columns]
-    return apply_swaps(df, swap_flags(df, present, group, order), present, group) if present else df
+    return apply_swaps(df, swap_flags(df, present, group), present, group) if present else df
 
 
 def month_totals(df: DataFrame, month: str, category: str, metrics: list[str]) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from farol.functions import text
 from farol.functions.numeric import per_thousand, percent_of
-from farol.operators.joins import fixed_table, members
+from farol.operators.joins import members
 from farol.operators.ranking import latest_rows, max_then_sum
 from farol.operators.shaping import month_totals
 from farol.plans.reference import CITY_SPELLINGS, states
@@ -72,7 +72,7 @@ def per_capita(snapshot: DataFrame, people: DataFrame | None = None) -> DataFram
     """Beds per 1,000 inhabitants by state; ``people`` has uf, regiao and populacao."""
     reference = people if people is not None else states(snapshot.sparkSession)
     sums = snapshot.groupBy(_state_key("uf_hospital")).agg(*[F.sum(m).alias(m) for m in MAIN_METRICS])
-    joined = sums.join(fixed_table(reference.select(F.col("uf").alias("uf_hospital"), "regiao", "populacao")), "uf_hospital")
+    joined = sums.join(reference.select(F.col("uf").alias("uf_hospital"), "regiao", "populacao"), "uf_hospital")
     joined = joined.where(F.col("populacao").isNotNull())
     return joined.select("uf_hospital", "regiao", "populacao", *MAIN_METRICS, *[
         per_thousand(F.col(m), F.col("populacao")).alias(f"{m}_per_capita") for m in MAIN_METRICS])
@@ -112,7 +112,7 @@ def public_share(snapshot: DataFrame, people: DataFrame | None = None) -> DataFr
     """Public share of beds by state, with the private rest and the region."""
     reference = people if people is not None else states(snapshot.sparkSession)
     sums = snapshot.groupBy(_state_key("uf_hospital")).agg(*[F.sum(m).alias(m) for m in MAIN_METRICS])
-    regions = fixed_table(reference.select(F.col("uf").alias("uf_hospital"), "regiao"))
+    regions = reference.select(F.col("uf").alias("uf_hospital"), "regiao")
     return _shares(sums).join(regions, "uf_hospital", "left")
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from farol.operators.joins import fixed_table
 
 # State code, state name, region, population of the 2022 census.
 STATES = [
@@ -71,5 +70,5 @@ def states(spark: SparkSession) -> DataFrame:
 def population_by_state(areas: DataFrame, name: str, people: str) -> DataFrame:
     """Population per state code from a table of areas; areas that are no state drop out."""
     totals = areas.groupBy(F.col(name).alias("nome")).agg(F.sum(people).alias("populacao"))
-    codes = fixed_table(states(areas.sparkSession).select("uf", "nome"))
+    codes = states(areas.sparkSession).select("uf", "nome")
     return totals.join(codes, "nome").select("uf", "populacao")

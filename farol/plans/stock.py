@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from farol.functions.numeric import per_thousand
-from farol.operators.joins import fixed_table
 from farol.operators.ranking import group_mode, value_counts
 from farol.plans.reference import states
 
@@ -15,7 +14,7 @@ def records_by_region(bnafar: DataFrame, regions: DataFrame | None = None, state
     """Stock lines per region: counted per state, then mapped; unknown states drop out."""
     reference = regions if regions is not None else states(bnafar.sparkSession)
     counts = value_counts(bnafar, state)
-    mapped = counts.join(fixed_table(reference.select(F.col("uf").alias(state), "regiao")), state)
+    mapped = counts.join(reference.select(F.col("uf").alias(state), "regiao"), state)
     return mapped.groupBy("regiao").agg(F.sum("records").alias("records"))
 
 
@@ -23,7 +22,7 @@ def records_per_thousand(bnafar: DataFrame, people: DataFrame | None = None, sta
     """Stock lines per 1,000 inhabitants by state."""
     reference = people if people is not None else states(bnafar.sparkSession)
     counts = value_counts(bnafar, state).withColumnRenamed("records", "total_registros")
-    joined = counts.join(fixed_table(reference.select(F.col("uf").alias(state), "populacao")), state)
+    joined = counts.join(reference.select(F.col("uf").alias(state), "populacao"), state)
     return joined.withColumn("reg_por_hab", per_thousand(F.col("total_registros"), F.col("populacao"))).orderBy(
         F.desc("reg_por_hab"), state)
 
@@ -32,7 +31,7 @@ def stock_per_thousand(bnafar: DataFrame, people: DataFrame | None = None, state
     """Stocked quantity per 1,000 inhabitants by state."""
     reference = people if people is not None else states(bnafar.sparkSession)
     sums = bnafar.groupBy(state).agg(F.sum("quantidade_estoque").alias("qt_estoque"))
-    joined = sums.join(fixed_table(reference.select(F.col("uf").alias(state), "populacao")), state)
+    joined = sums.join(reference.select(F.col("uf").alias(state), "populacao"), state)
     return joined.withColumn("med_por_hab", per_thousand(F.col("qt_estoque"), F.col("populacao"))).orderBy(
         F.desc("med_por_hab"), state)
 

@@ -75,6 +75,13 @@ def as_of_date(as_of: dt.date | str | None = None) -> Column:
     return F.lit(str(as_of)).cast("date")
 
 
+def discard(spark: SparkSession, *folders: str) -> None:
+    """Remove staged folders that no later job reads."""
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def staged(df: DataFrame, name: str) -> tuple[str, DataFrame]:
     """Write to the shared scratch folder and read back: later steps start from the files."""
     folder = scratch_dir(df.sparkSession, name)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,13 +12,40 @@ from farol.functions.dates import first_year
 _HREF = r"""(?is)href\s*=\s*["']([^"']*)["']"""
 
 
+def without_dots(url: Column) -> Column:
+    """Address whose path has no ``.`` and ``..`` segments; those above the root fall away."""
+    host = F.regexp_extract(url, "^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1)
+    path = F.regexp_extract(url, "^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*(/[^?#]*)", 1)
+    rest = F.substring(url, F.length(host) + F.length(path) + 1, F.length(url))
+    segments = F.split(path, "/")
+    none = F.array().cast("array<string>")
+    kept = F.aggregate(F.slice(segments, F.lit(2), F.size(segments)), none, lambda done, s: F.when(
+        s == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).when(s == ".", done).otherwise(F.concat(done, F.array(s))))
+    last = F.element_at(segments, -1)
+    folded = F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(last.isin(".", "..") & (F.size(kept) > 0), "/").otherwise(""))
+    return F.when(path.rlike("(^|/)[.]{1,2}(/|$)"), F.concat(host, folded, rest)).otherwise(url)
+
+
+def plain_text(c: Column) -> Column:
+    """The five basic entities as their characters."""
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+        c = F.replace(c, F.lit(entity), F.lit(char))
+    return c
+
+
+def _has_class(name: str) -> str:
+    """Pattern of a class attribute with the name as one of its words."""
+    return rf"""class\s*=\s*(?:"(?:[^"]*\s)?{re.escape(name)}(?:\s[^"]*)?"|'(?:[^']*\s)?{re.escape(name)}(?:\s[^']*)?')"""
+
+
 def absolute_url(base: Column, href: Column) -> Column:
     """Link target seen from the page it stands on."""
+    href = plain_text(href)
     scheme = F.regexp_extract(base, "^([a-zA-Z][a-zA-Z0-9+.-]*):", 1)
     host = F.regexp_extract(base, "^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1)
     page = F.regexp_extract(base, "^([^?#]*)", 1)
     folder = F.when(page == host, F.concat(host, F.lit("/"))).otherwise(F.regexp_replace(page, "[^/]*$", ""))
-    return (F.when(href.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:"), href)
+    return without_dots(F.when(href.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:"), href)
             .when(href.startswith("//"), F.concat(scheme, F.lit(":"), href))
             .when(href.startswith("/"), F.concat(host, href))
             .when(href.startswith("#"), F.concat(F.regexp_extract(base, "^([^#]*)", 1), href))
@@ -29,7 +58,7 @@ def _anchors(html: Column, css: str | None) -> Column:
     tags = F.regexp_extract_all(html, F.lit(r"(?is)<a\s[^>]*>"), F.lit(0))
     if css is None:
         return tags
-    return F.filter(tags, lambda tag: tag.rlike(rf"""(?is)class\s*=\s*["'][^"']*\b{css}\b"""))
+    return F.filter(tags, lambda tag: tag.rlike(f"(?is){_has_class(css)}"))
 
 
 def page_links(pages: DataFrame, item: str | None = None, css: str | None = None) -> DataFrame:
@@ -38,7 +67,7 @@ def page_links(pages: DataFrame, item: str | None = None, css: str | None = None
         tags = pages.select("url", F.explode(_anchors(F.col("html"), css)).alias("tag"))
     else:
         blocks = F.regexp_extract_all(
-            F.col("html"), F.lit(rf"""(?is)<li\s[^>]*class\s*=\s*["'][^"']*\b{item}\b[^>]*>.*?</li\s*>"""), F.lit(0))
+            F.col("html"), F.lit(rf"(?is)<li\s[^>]*{_has_class(item)}[^>]*>.*?</li\s*>"), F.lit(0))
         items = pages.select("url", F.explode(blocks).alias("block"))
         tags = items.select("url", F.get(_anchors(F.col("block"), css), 0).alias("tag"))
     found = tags.where(F.col("tag").rlike(_HREF)).select("url", F.regexp_extract("tag", _HREF, 1).alias("href"))

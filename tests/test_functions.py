@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from farol.functions import dates, numeric, text
-from farol.functions.scores import bleu, cosine, sentence_bleu
+from farol.functions.scores import bleu, cosine
 from farol.session import as_of_date
 
 
@@ -25,7 +25,8 @@ def test_clean_text(spark):
 
 
 def test_digits_and_padding(spark):
-    assert values(spark, text.digits_only, ["12.345/0001-9", "76954000.0", None, "abc"]) == ["1234500019", "76954000", "", ""]
+    assert values(spark, text.digits_only, ["12.345/0001-9", "76954000.0", None, "abc", "12.00", "7.6954E7"]) == [
+        "1234500019", "76954000", "", "", "12", "76954000"]
     assert values(spark, lambda c: text.padded_code(c, 8), ["1310000.0", "76954-000", ""]) == ["01310000", "76954000", ""]
 
 
@@ -104,6 +105,7 @@ def test_filled_total(spark):
 def test_dates(spark):
     day = dt.date(2023, 2, 1)
     assert values(spark, dates.date_of, ["2023-02-01", "2023/02/01", "01/02/2023", "x", None]) == [day, day, day, None, None]
+    assert values(spark, dates.date_of, ["2023-01-31 22:00:00-03", "2023-02-01T00:00:00", "2023-02-01T01:00:00+01", "2023-02-01 00:00:00.000Z"]) == [day] * 4
     assert values(spark, dates.month_of, ["202302", "202313", "2023"]) == [day, None, None]
     assert values(spark, dates.first_year, ["bps_2023.csv", "x", "a/19990/2001"]) == [2023, 0, 1999]
     got = values(spark, lambda c: F.date_format(dates.utc_timestamp(c), "yyyy-MM-dd HH:mm"),
@@ -117,11 +119,16 @@ def test_as_of(spark):
     assert one.select(as_of_date() == F.current_date()).first()[0]
 
 
-def test_bleu_by_hand():
+def test_bleu_by_hand(spark):
+    def sentence_bleu(reference, candidate):
+        df = spark.createDataFrame([(1, reference, candidate)], "id int, o string, p string")
+        return bleu(df, ["id"], "o", "p").first()["score"]
+
     same = "a b c d e"
     assert sentence_bleu(same, same) == pytest.approx(1.0)
     assert sentence_bleu(same, "x y z") == 0.0
     assert sentence_bleu(same, "") == 0.0
+    assert sentence_bleu(same, None) is None and sentence_bleu(None, same) is None
     # 3 of 4 words, 2 of 3 pairs, 1 of 2 triples, no quadruple of 1; equal lengths
     smooth = 1 / (2 * 5 / math.log(4))
     want = math.exp(0.25 * (math.log(3 / 4) + math.log(2 / 3) + math.log(1 / 2) + math.log(smooth)))
@@ -135,6 +142,7 @@ def test_bleu_by_hand():
 def test_scores_on_rows(spark):
     df = spark.createDataFrame([("a b c d", "a b c d", [1.0, 0.0], [1.0, 1.0]), ("a", "b", [0.0, 0.0], [1.0, 0.0])],
                                "o string, p string, x array<float>, y array<float>")
-    got = df.select(bleu("o", "p"), cosine(F.col("x"), F.col("y"))).collect()
-    assert got[0][0] == pytest.approx(1.0) and got[0][1] == pytest.approx(1 / math.sqrt(2))
-    assert tuple(got[1]) == (0.0, None)
+    got = df.select(cosine(F.col("x"), F.col("y"))).collect()
+    assert got[0][0] == pytest.approx(1 / math.sqrt(2)) and got[1][0] is None
+    scores = {r["o"]: r["score"] for r in bleu(df, ["o"], "o", "p").collect()}
+    assert scores["a b c d"] == pytest.approx(1.0) and scores["a"] == 0.0

@@ -12,6 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from farol.operators import joins, keys, pairs, profile, quantiles, ranking, shaping
+from farol.plans import beds
 
 
 def test_lookup_matches_null_keys(spark):
@@ -55,12 +56,17 @@ def test_complete_domain_and_latest(spark):
     assert rows(joins.where_latest(dated, "d", F.col("k") == "a")) == [(2, "a"), (2, "b")]
 
 
-def test_fixed_table_refuses_large_input(spark):
-    small = spark.range(joins.FIXED_TABLE_ROWS).select(F.col("id").alias("k"))
-    facts = spark.range(5).select(F.col("id").alias("k"))
-    assert facts.join(joins.fixed_table(small), "k").count() == 5
-    with pytest.raises(Exception, match="too large to broadcast"):
-        facts.join(joins.fixed_table(spark.range(1000).select(F.col("id").alias("k"))), "k").collect()
+def test_reference_tables_have_any_size(spark):
+    beds_now = spark.createDataFrame([(f"u{i:03}", i) for i in range(150)], "uf_hospital string, leitos_geral long")
+    people = spark.createDataFrame([(f"u{i:03}", "r", 1000) for i in range(150)], "uf string, regiao string, populacao long")
+    wide = beds_now.withColumns({m: F.col("leitos_geral") for m in beds.MAIN_METRICS})
+    assert beds.per_capita(wide, people).count() == 150
+
+
+def test_describe_keeps_small_and_large_means(spark):
+    small = profile.describe(spark.createDataFrame([(1e-8,), (3e-8,)], "v double"), ["v"]).first()
+    large = profile.describe(spark.createDataFrame([(1e20,), (1.0,)], "v double"), ["v"]).first()
+    assert abs(small["mean"] - 2e-8) < 1e-15 and large["mean"] == 5e19 and large["count"] == 2
 
 
 def test_ranking(spark):
@@ -175,7 +181,7 @@ def test_swap_repair_looks_at_the_first_values_only(spark):
     # a late letter does not make a file swapped
     good[140] = ("f1", 140, "X", "NAME 140")
     df = spark.createDataFrame(good + bad, "f string, n int, ident string, name string")
-    got = rows(shaping.repair_swaps(df, [("ident", "name"), ("absent", "too")], "f", ["n"]))
+    got = rows(shaping.repair_swaps(df, [("ident", "name"), ("absent", "too")], "f"))
     assert got == sorted(good + [("f2", i, str(i), f"NAME {i}") for i in range(5)] + [("f2", 9, None, None)], key=repr)
 
 

@@ -135,11 +135,35 @@ def test_second_hop(spark):
         ("http://s.org/data/set", LISTING), ("http://s.org/page/7", '<body><a class="btn btn-primary" href="../x.csv">go</a>')],
         "url string, html string")
     found = listing.direct_or_second_hop(pages.where("url like '%set'"), pages).select("link")
-    assert ("http://s.org/page/../x.csv",) in rows(found)
+    assert ("http://s.org/x.csv",) in rows(found)
     assert ("http://s.org/data/json_2020.zip",) in rows(found)
     assert not [r for r in rows(found) if r[0].endswith(".pdf")]
 
 
+def test_addresses_and_class_words(spark):
+    base = "http://s.org/a/b/page.html?q"
+    for href, want in {"../x.csv": "http://s.org/a/x.csv", "./y.csv": "http://s.org/a/b/y.csv", "../../../z": "http://s.org/z", "/c/./d/../e?f=../g": "http://s.org/c/e?f=../g",
+                       "x?a=1&amp;b=2": "http://s.org/a/b/x?a=1&b=2", "http://o.org/..": "http://o.org/", "..": "http://s.org/a/", "?n": "http://s.org/a/b/page.html?n"}.items():
+        assert spark.range(1).select(listing.absolute_url(F.lit(base), F.lit(href))).first()[0] == want
+    html = """<li class="resource-item-old"><a href="a">a</a></li><li class='x resource-item'><a class="big" href="b">b</a></li>"""
+    pages = spark.createDataFrame([(base, html)], "url string, html string")
+    assert [r["href"] for r in listing.page_links(pages, "resource-item").collect()] == ["b"]
+    assert [r["href"] for r in listing.page_links(pages, css="big").collect()] == ["b"]
+
+
+def test_line_breaks_in_quotes(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('n;t;m\n1;"two\nlines";3\n4;five;6\n')
+    got = delimited.read_delimited(spark, [str(tmp_path / "a.csv")])
+    assert rows(got.select("n", "t", "m")) == [("1", "two\nlines", "3"), ("4", "five", "6")]
+
+
+def test_late_lost_quotes_count(spark, tmp_path):
+    lines = ['"a";"b";"c"'] + ['"1";"2";"3"'] * 30 + ['x;"y";"z"']
+    (tmp_path / "a.csv").write_text("\n".join(lines) + "\n")
+    got = delimited.read_delimited(spark, [str(tmp_path / "a.csv")], by_frequency=True)
+    assert ("x", "y", "z") in rows(got.select("a", "b", "c")) and got.count() == 31
+
+
 def test_page_body(spark):
     html = ["<html><BODY class='x'>a\n<b>b</b></body ></html>", "none"]
     df = spark.createDataFrame([(h,) for h in html], "html string")
