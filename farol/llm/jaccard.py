@@ -9,11 +9,11 @@ the one-deletion neighbourhood). Every set can use any units: one in each segmen
 in a few designated segments, for which one-deletion neighbourhoods are indexed.
 
 Units are allocated by cost, the number of sets that a unit would make candidates. First every
-index key links its members to the least of them, the best such link of each set is verified and
-components are formed: sets of one component need no further comparison, so a key whose members are
-all in one component costs nothing. Only sets without enough free units take the cheapest of the
+index key links its members to the most central of them (whose keys have the most members), the best such
+link of each set is verified and components are formed: sets of one component need no further comparison,
+so a key whose members are all in one component costs nothing. Only sets without enough free units take the cheapest of the
 others. A candidate pair is passed on for verification only if the parity sketches of its sets (for
-each of 512 bins, whether it has an odd number of shingles) differ in no more bins than similar sets may
+each of 1,024 bins, whether it has an odd number of shingles) differ in no more bins than similar sets may
 differ in shingles, which drops no similar pair. Every pair that links different components is thus found,
 while a group of n copies costs about n verifications.
 
@@ -35,7 +35,7 @@ from farol.llm.components import components
 from farol.llm.textbytes import Rolling, as_long, mix, shingles, text_blocks
 
 _HALF = np.uint64(32)
-BINS = 512
+BINS = 1024
 OWN, DELETED = 1, 2  # flags of a key: of the set's own size band; of a subset without one of its shingles
 
 
@@ -177,9 +177,9 @@ def _remaining(shared: DataFrame, stars: DataFrame, labels: DataFrame, nodes: Da
         return df.join(labels.select(F.col("node").alias(column), F.col("label").alias(name)), column, "left").withColumn(
             name, F.coalesce(name, column))
 
-    apart = labelled(labelled(stars.select("node", "least"), "node", "label"), "least", "least_label")
-    apart = stages.put("jaccard-apart", apart.where("label != least_label").select("node", "least"))
-    mixed = shared.join(apart, ["node", "least"], "left_semi").select("key").distinct()
+    apart = labelled(labelled(stars.select("node", "hub"), "node", "label"), "hub", "hub_label")
+    apart = stages.put("jaccard-apart", apart.where("label != hub_label").select("node", "hub"))
+    mixed = shared.join(apart, ["node", "hub"], "left_semi").select("key").distinct()
     sizes = nodes.select("node", "n_shingles", "needed", "units")
     rows = labelled(shared.join(mixed, "key", "left_semi").select("key", "node", "meta").distinct(), "node", "label")
     rows = stages.put("jaccard-mixed", rows.join(sizes, "node").select(
@@ -244,13 +244,18 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5) -> Dat
 
     per_key = Window.partitionBy("key")
     keys = docs.mapInArrow(_keys(percent, shingle), "key long, node long, meta int")
-    shared = stages.put("jaccard-shared", keys.withColumn("least", F.min("node").over(per_key)).withColumn(
-        "most", F.max("node").over(per_key)).where("least < most").drop("most"))
-
-    # one verified link for every set: to the least member of its keys that it meets most often
-    stars = stages.put("jaccard-stars", shared.where("node != least").groupBy("node", "least").agg(
+    met = stages.put("jaccard-met", keys.withColumn("least", F.min("node").over(per_key)).withColumn("most", F.max("node").over(per_key)).withColumn(
+        "members", F.count("*").over(per_key)).where("least < most").drop("least", "most"))
+    weights = met.groupBy("node").agg(F.sum("members").alias("weight"))
+    hubs = met.join(weights, "node").groupBy("key").agg(F.max_by("node", F.struct("weight", "node")).alias("hub"))
+    shared = stages.put("jaccard-shared", met.drop("members").join(hubs, "key"))
+    stages.drop("jaccard-met")
+
+    # one verified link for every set: to the hub of its keys that it meets most often
+    stars = stages.put("jaccard-stars", shared.where("node != hub").groupBy("node", "hub").agg(
         F.sum(F.expr(f"if((meta & {DELETED}) = 0, 1, 0)")).alias("times")))
-    best = stars.groupBy("node").agg(F.max_by("least", F.struct("times", "least")).alias("a")).select("a", F.col("node").alias("b"))
+    best = stars.groupBy("node").agg(F.max_by("hub", F.struct("times", "hub")).alias("hub")).select(
+        F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
     links = _verified(best, nodes, docs, percent, shingle, stages, "jaccard-first")
     labels = components(links, stages, "jaccard-near")
 
