@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import datetime as dt
+import os
+import uuid
 import zipfile
 from decimal import Decimal
 
@@ -202,3 +204,41 @@ def test_incremental_ingest(spark, database, tmp_path):
     # a new checkpoint hands over all files again, the ledger keeps the loaded ones out
     ingest_folder(spark, str(folder), datasets.STOCK, scratch_dir(spark, "cp"), database).awaitTermination()
     assert spark.table(fact).count() == 4
+
+
+def test_failed_files_are_tried_again(spark, database, tmp_path, monkeypatch):
+    from farol.streaming import ingest
+
+    folder, checkpoint, real, lost = tmp_path / "landing", scratch_dir(spark, "cp"), ingest.load_star, []
+    write(folder, "stock_2021.csv", STOCK_HEADER + stock())
+
+    def once_lost(*args, **kwargs):
+        if not lost:
+            lost.append(1)
+            raise RuntimeError("an executor is gone")
+        return real(*args, **kwargs)
+
+    monkeypatch.setattr(ingest, "load_star", once_lost)
+
+    def run():
+        ingest_folder(spark, str(folder), datasets.STOCK, checkpoint, database).awaitTermination()
+
+    with pytest.raises(Exception, match="tries them again"):
+        run()
+    run()
+    assert spark.table(f"{database}.instituicao_estoca_produto").count() == 1
+    assert spark.table(f"{database}.processed_files").count() == 1
+
+
+def test_the_oldest_year_comes_first(spark, tmp_path):
+    def names(max_files):
+        database = f"db_{uuid.uuid4().hex}"
+        spark.sql(f"CREATE DATABASE {database} LOCATION '{scratch_dir(spark, database)}'")
+        ingest_folder(spark, str(folder), datasets.STOCK, scratch_dir(spark, "cp"), database, max_files=max_files).awaitTermination()
+        return rows(spark.table(f"{database}.instituicao").drop("instituicao_id", "endereco_id"))
+
+    folder = tmp_path / "landing"
+    write(folder, "stock_2021.csv", STOCK_HEADER + stock().replace("Posto 7", "Posto novo"))
+    write(folder, "stock_2020.csv", STOCK_HEADER + stock())
+    os.utime(folder / "stock_2021.csv", (1, 1))
+    assert names(1) == names(1000) and "POSTO 7" in str(names(1))
