@@ -154,7 +154,9 @@ def grouped_quantiles(spark, folder):
     return out.withColumns({p: F.round(p, 6) for p in points})
 
 
-@query("sample_stable", "SELECT * FROM orders ORDER BY md5('42-' || CAST(o_orderkey AS VARCHAR)), o_orderkey LIMIT 10")
+@query("sample_stable", """SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice,
+strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate, o_orderpriority FROM orders
+ORDER BY md5('42-' || CAST(o_orderkey AS VARCHAR)), o_orderkey LIMIT 10""")
 def sample_stable(spark, folder):
     """A sampling operator: the ten rows are its result."""
     return ranking.stable_sample(table(spark, folder, "orders"), ["o_orderkey"], 10)
