@@ -36,6 +36,7 @@ from farol.llm.textbytes import Rolling, as_long, mix, shingles, text_blocks
 
 _HALF = np.uint64(32)
 BINS = 1024
+SIZES = ["n_shingles", "needed", "segments", "designated"]
 OWN, DELETED = 1, 2  # flags of a key: of the set's own size band; of a subset without one of its shingles
 
 
@@ -75,8 +76,8 @@ def _sets(percent: int, shingle: int):
                 yield pa.RecordBatch.from_arrays([
                     batch.column("doc_id")[row:end], batch.column("text_hash")[row:end], pa.array(sizes), pa.array(_nodes(owner, value, sizes).view(np.int64), mask=sizes == 0),
                     pa.array(np.where(sizes > bands.tops[0], bands.differing(sizes) + 1, 0)),
-                    pa.array(bands.segments[band] + bands.designated[band]), _sketches(owner, value, end - row)],
-                    ["doc_id", "text_hash", "n_shingles", "node", "needed", "units", "sketch"])
+                    pa.array(bands.segments[band]), pa.array(bands.designated[band]), _sketches(owner, value, end - row)],
+                    ["doc_id", "text_hash", "n_shingles", "node", "needed", "segments", "designated", "sketch"])
 
     return run
 
@@ -180,10 +181,9 @@ def _remaining(shared: DataFrame, stars: DataFrame, labels: DataFrame, nodes: Da
     apart = labelled(labelled(stars.select("node", "hub"), "node", "label"), "hub", "hub_label")
     apart = stages.put("jaccard-apart", apart.where("label != hub_label").select("node", "hub"))
     mixed = shared.join(apart, ["node", "hub"], "left_semi").select("key").distinct()
-    sizes = nodes.select("node", "n_shingles", "needed", "units")
     rows = labelled(shared.join(mixed, "key", "left_semi").select("key", "node", "meta").distinct(), "node", "label")
-    rows = stages.put("jaccard-mixed", rows.join(sizes, "node").select(
-        "key", "node", "label", "n_shingles", "needed", "units", F.expr("meta >> 2").alias("seat"),
+    rows = stages.put("jaccard-mixed", rows.join(nodes.select("node", *SIZES), "node").select(
+        "key", "node", "label", *SIZES, F.expr("meta >> 2").alias("seat"),
         F.expr(f"(meta & {OWN}) != 0").alias("own"), F.expr(f"(meta & {DELETED}) != 0").alias("deleted")))
 
     # costs: members of other components that each unit would meet
@@ -192,20 +192,16 @@ def _remaining(shared: DataFrame, stars: DataFrame, labels: DataFrame, nodes: Da
     by_key = by_label.groupBy("key").agg(F.sum("whole_in").alias("whole_all"), F.sum("less_in").alias("less_all"))
     own = rows.where("own").join(by_key, "key").join(by_label, ["key", "label"])
     costs = own.groupBy("node", "seat").agg(
-        F.first("label").alias("label"), F.first("needed").alias("needed"), F.first("units").alias("units"),
+        *[F.first(c).alias(c) for c in SIZES],
         F.sum(F.expr("if(deleted, 0, whole_all - whole_in)")).alias("first_cost"),
         F.sum(F.expr("if(deleted, whole_all - whole_in, less_all - less_in)")).alias("second_cost"))
-    items = costs.select("node", "seat", "needed", "units", F.expr(
+    items = costs.select("node", "seat", *SIZES, F.expr(
         "inline(array(struct(1 AS unit, first_cost AS cost), struct(2 AS unit, greatest(first_cost, second_cost) AS cost)))"))
     # a segment that is not designated has no second unit: there only equal subsets were indexed
-    top = Bands(percent)
-    bounds = shared.sparkSession.createDataFrame(
-        [(int(a) + 1, int(b), int(d)) for a, b, d in zip(top.tops, top.tops[1:], top.designated[1:])], "low long, high long, designated long")
-    items = items.join(sizes.select("node", "n_shingles"), "node").join(
-        F.broadcast(bounds), F.col("n_shingles").between(F.col("low"), F.col("high"))).where("cost > 0 and (unit = 1 or seat < designated)")
+    items = items.where("cost > 0 and (unit = 1 or seat < designated)")
     ranked = items.withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy("cost", "unit", "seat"))).withColumn(
         "costly", F.count("*").over(Window.partitionBy("node")))
-    chosen = ranked.where("rank <= needed - (units - costly)").select("node", "seat", "unit")
+    chosen = ranked.where("rank <= needed - (segments + designated - costly)").select("node", "seat", "unit")
 
     sketches = nodes.select("node", "sketch")
     small = rows.where("own").join(chosen, ["node", "seat"]).join(sketches, "node").select(
@@ -229,18 +225,17 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5) -> Dat
     least doc_id reachable by links, the document's own included. ``percent`` is above 50 and below 100.
     Words are runs without white space, A-Z as a-z; a text with fewer words than ``shingle`` has one shingle,
     its whole sequence. Null, empty and blank texts have no shingle and link with nothing: their component is
-    their own id. Repeated rows and copies link. ``stays`` marks the first document of each component. A null doc_id links like any other and gets the least id of
-    its component, null if there is none. An empty table gives an empty result. Shingles are compared by
-    64-bit fingerprints.
+    their own id. Repeated rows and copies link. A null doc_id links like any other and gets the least id of its
+    component, null if there is none. ``stays`` marks the first document of each component. An empty table gives an
+    empty result. Shingles are compared by 64-bit fingerprints.
     """
     spark = ready(docs.sparkSession)
     stages, docs = Stages(spark), texts(docs)
     sets = stages.put("jaccard-sets", docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(
-        _sets(percent, shingle), "doc_id long, text_hash long, n_shingles long, node long, needed long, units long, sketch array<long>"))
+        _sets(percent, shingle), "doc_id long, text_hash long, n_shingles long, node long, needed long, segments long, designated long, sketch array<long>"))
     nodes = stages.put("jaccard-nodes", sets.where("node is not null").groupBy("node").agg(
-        F.min(F.struct("doc_id", "text_hash")).alias("first"), F.first("n_shingles").alias("n_shingles"),
-        F.first("needed").alias("needed"), F.first("units").alias("units"), F.first("sketch").alias("sketch")).select(
-        "node", F.col("first.doc_id").alias("first_doc"), F.col("first.text_hash").alias("first_text"), "n_shingles", "needed", "units", "sketch"))
+        F.min(F.struct("doc_id", "text_hash")).alias("first"), *[F.first(c).alias(c) for c in (*SIZES, "sketch")]).select(
+        "node", F.col("first.doc_id").alias("first_doc"), F.col("first.text_hash").alias("first_text"), *SIZES, "sketch"))
 
     per_key = Window.partitionBy("key")
     keys = docs.mapInArrow(_keys(percent, shingle), "key long, node long, meta int")
