@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from farol.llm.common import ready, texts
+from farol.llm.common import Stages, ready, texts
 from farol.llm.textbytes import BLANK, LOWER, Rolling, text_blocks
 
 Q = 12
@@ -161,12 +161,12 @@ def _matches(items: Items, data: np.ndarray, offsets: np.ndarray) -> list[tuple[
     return rows
 
 
-def _item_blocks(benchmark: DataFrame, limit: int) -> Iterator[list[tuple[int, str]]]:
+def _item_blocks(benchmark: DataFrame, stages: Stages, limit: int) -> Iterator[list[tuple[int, str]]]:
     """The items in blocks of at most ``limit`` characters; a longer item is a block of its own."""
     block, room = [], limit
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where(
-        "text is not null and item_id is not null").distinct().orderBy("item_id", "text")
-    for row in rows.toLocalIterator():
+        "text is not null and item_id is not null").distinct()
+    for row in stages.put("benchmark-items", rows).toLocalIterator():
         if block and len(row["text"]) > room:
             yield block
             block, room = [], limit
@@ -184,9 +184,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 6, block_
     Repeated rows give one row each; a null doc_id stays null. Empty tables give an empty result.
     """
     spark = ready(docs.sparkSession)
-    rows = texts(docs).withColumn("text_hash", F.xxhash64("text"))
+    stages, rows = Stages(spark), texts(docs).withColumn("text_hash", F.xxhash64("text"))
     out = None
-    for block in _item_blocks(benchmark, block_bytes):
+    for block in _item_blocks(benchmark, stages, block_bytes):
         shared = spark.sparkContext.broadcast(Items(block, percent))
         part = rows.mapInArrow(_found(shared), "doc_id long, text_hash long, item_id long, edits long, start long, end long")
         out = part if out is None else out.unionByName(part)

@@ -19,12 +19,12 @@ from pyspark.sql import functions as F
 from farol.llm.common import ready
 
 LETTER = re.compile(r"[^\W\d_]")
-#: What is encoded: ASCII letters in lower case, other ASCII characters as separators, all else as it is.
+#: What is encoded of a lower-case text: ASCII letters, other ASCII characters as separators, all else as it is.
 FOLDED = bytes(c + 32 if 65 <= c <= 90 else c if c > 127 or 97 <= c <= 122 else 32 for c in range(256))
 
 
 def folded(text: str) -> bytes:
-    return b" ".join(text.encode().translate(FOLDED).split())
+    return b" ".join(text.lower().encode().translate(FOLDED).split())
 
 
 def dictionaries(labelled: DataFrame, dictionary_bytes: int, sample_texts: int, total_bytes: int) -> dict[str, bytes]:
@@ -40,9 +40,11 @@ def dictionaries(labelled: DataFrame, dictionary_bytes: int, sample_texts: int,
     if not counts:
         return {}
     size = min(dictionary_bytes, total_bytes // len(counts))
-    sample = labelled.join(first, ["lang", "turn"]).groupBy("lang", "turn").agg(F.min(F.substring("text", 1, size)).alias("text"))
+    shares = labelled.sparkSession.createDataFrame([(lang, max(1, size // n)) for lang, n in counts.items()], "lang string, share int")
+    cut = F.substring(F.col("text"), F.lit(1), F.col("share"))
+    sample = labelled.join(first, ["lang", "turn"]).join(shares, "lang").groupBy("lang", "turn").agg(F.min(cut).alias("text"))
     parts: dict[str, list[bytes]] = {lang: [] for lang in counts}
-    for row in sample.orderBy("lang", "turn").toLocalIterator():
+    for row in sorted(sample.collect()):  # total_bytes characters at most
         parts[row["lang"]].append(folded(row["text"])[:max(1, size // counts[row["lang"]])])
     return {lang: b"\n".join(some)[:size] for lang, some in parts.items()}
 
