@@ -48,16 +48,21 @@ def spaced(text: Column) -> Column:
 
 
 def _places(words: Column, phrase: str) -> Column:
-    """Word numbers at which the phrase starts."""
-    parts = phrase.split()
+    """Word numbers at which the phrase starts.
 
-    def here(i):
-        same = F.lit(True)
-        for k, part in enumerate(parts):
-            same = same & (F.get(words, i + k) == part)
-        return same
+    The words are held against one word of the phrase after another, shifted by its place; no lambda reads the whole
+    array, as it would be built anew for every word.
+    """
+    first, *others = phrase.split()
+
+    def followed(part: str):
+        return lambda before, word: before & F.coalesce(word == part, F.lit(False))
 
-    return F.filter(F.sequence(F.lit(0), F.size(words) - 1), here)
+    here = F.transform(words, lambda w: w == first)
+    for k, part in enumerate(others, 1):
+        here = F.zip_with(here, F.slice(words, k + 1, F.size(words)), followed(part))
+    numbers = F.transform(here, lambda a, i: F.when(a, i))
+    return F.filter(numbers, lambda i: i.isNotNull())
 
 
 def scanned(docs: DataFrame, phrases: dict[str, str], vocabulary: list[str]) -> DataFrame:
