@@ -18,6 +18,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # split a hot join key even when an aggregate on the same key follows
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # results that are fetched part by part read their shuffle files after the query counts as ended
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "false",
     # a re-run of one source file replaces that file's partition only
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }
