@@ -71,13 +71,15 @@ def resolved(captures: DataFrame) -> DataFrame:
         F.col("record_id").alias("full_id"), F.col("headers").alias("full_headers"), F.col("payload").alias("full_payload")).dropDuplicates(["full_id"])
     own = captures.where("kind = 'revisit'").select(F.col("record_id").alias("own_id"), F.unix_micros("at").alias("own_at"), F.col("headers").alias("own_headers")).dropDuplicates(
         ["own_id", "own_at"])
-    usable = F.when(F.col("outcome").isin("resolved", "unchecked"), F.col("refers_to"))
+    # only revisits that get a response meet the payloads; the others need no join
+    usable = F.col("outcome").isin("resolved", "unchecked")
     renewed = F.map_filter(F.coalesce("own_headers", F.create_map().cast("map<string,string>")), lambda k, v: k.isin(*PERMITTED))
     merged = F.map_concat(F.map_filter("full_headers", lambda k, v: ~F.array_contains(F.map_keys(renewed), k)), renewed)
-    joined = found.withColumn("wanted", usable).join(full, F.col("wanted") == F.col("full_id"), "left").join(
+    joined = found.where(usable).join(full, F.col("refers_to") == F.col("full_id")).join(
         own, F.col("record_id").eqNullSafe(F.col("own_id")) & F.col("at").eqNullSafe(F.col("own_at")), "left")
-    return joined.select("record_id", "url_key", "refers_to", "outcome", F.when(F.col("wanted").isNotNull(), merged).alias("headers"),
-                         F.when(F.col("wanted").isNotNull(), F.col("full_payload")).alias("payload"))
+    columns = ["record_id", "url_key", "refers_to", "outcome"]
+    return joined.select(*columns, merged.alias("headers"), F.col("full_payload").alias("payload")).unionByName(found.where(~usable).select(
+        *columns, F.lit(None).cast("map<string,string>").alias("headers"), F.lit(None).cast(captures.schema["payload"].dataType).alias("payload")))
 
 
 def _lines(data: bytes, at: int) -> tuple[list[str], int]:
