@@ -45,19 +45,14 @@ class Stages:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folders.pop(name))
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
+    def keep(self, *prefixes: str) -> None:
+        """Drop all tables but those whose name starts with one of the prefixes."""
+        self.drop(*[name for name in self.folders if not name.startswith(prefixes)])
+
 
 def texts(docs: DataFrame) -> DataFrame:
     """The two columns that document operators read; further columns of any name are ignored."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def keep_rows(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
-    """Rows of ``docs`` whose doc_id is (``left_semi``) or is not (``left_anti``) in ``ids``; null matches null.
-
-    The key gets a name of its own, so clashing column names do no harm.
-    """
-    keys = ids.select(F.col("doc_id").cast("long").alias("__kept_id")).distinct()
-    return docs.join(keys, docs["doc_id"].cast("long").eqNullSafe(keys["__kept_id"]), how)
-
-
 Job = Callable[[SparkSession, str], DataFrame]

@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from farol.llm.common import Stages, ready, texts
@@ -190,15 +190,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 6, block_
         shared = spark.sparkContext.broadcast(Items(block, percent))
         part = rows.mapInArrow(_found(shared), "doc_id long, text_hash long, item_id long, edits long, start long, end long")
         out = part if out is None else out.unionByName(part)
+    stages.keep()
     return out
 
 
-def best_places(found: DataFrame) -> DataFrame:
-    """One row for each document and item, the place with the fewest edits."""
-    order = Window.partitionBy("doc_id", "text_hash", "item_id").orderBy("edits", "start", "end")
-    return found.withColumn("n", F.row_number().over(order)).where("n = 1").drop("n")
-
-
 def clean_documents(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """The rows and columns of ``docs`` without any benchmark item."""
     held = contaminated(docs, benchmark, **how).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()

@@ -256,7 +256,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5) -> Dat
 
     rest = _verified(_remaining(shared, stars, labels, nodes, percent, stages), nodes, docs, percent, shingle, stages, "jaccard-rest")
     labels = components(links.unionByName(rest), stages, "jaccard-all")
-    stages.drop("jaccard-shared", "jaccard-stars", "jaccard-apart", "jaccard-mixed", "jaccard-chosen")
+    stages.keep("jaccard-sets", "jaccard-all")
 
     named = sets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")

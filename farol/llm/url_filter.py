@@ -136,6 +136,7 @@ def with_membership(rows: DataFrame, listed: DataFrame, block_keys: int = BLOCK_
         kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
         part = hashed.mapInArrow(_listed(shared), f"{kinds}, listed boolean")
         out = part if out is None else out.unionByName(part)
+    stages.keep()
     return out
 
 
