@@ -57,8 +57,8 @@ def test_complete_domain_and_latest(spark):
 
 
 def test_reference_tables_have_any_size(spark):
-    beds_now = spark.createDataFrame([(f"u{i:03}", i) for i in range(150)], "uf_hospital string, leitos_geral long")
-    people = spark.createDataFrame([(f"u{i:03}", "r", 1000) for i in range(150)], "uf string, regiao string, populacao long")
+    beds_now = spark.createDataFrame([(f"U{i:03}", i) for i in range(150)], "uf_hospital string, leitos_geral long")
+    people = spark.createDataFrame([(f"U{i:03}", "r", 1000) for i in range(150)], "uf string, regiao string, populacao long")
     wide = beds_now.withColumns({m: F.col("leitos_geral") for m in beds.MAIN_METRICS})
     assert beds.per_capita(wide, people).count() == 150
 
