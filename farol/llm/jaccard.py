@@ -240,7 +240,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5) -> Dat
     per_key = Window.partitionBy("key")
     keys = docs.mapInArrow(_keys(percent, shingle), "key long, node long, meta int")
     met = stages.put("jaccard-met", keys.withColumn("least", F.min("node").over(per_key)).withColumn("most", F.max("node").over(per_key)).withColumn(
-        "members", F.count("*").over(per_key)).where("least < most").drop("least", "most"))
+        "members", F.count("*").over(per_key)).where("least < most").groupBy("key", "node", "meta").agg(F.first("members").alias("members")))
     weights = met.groupBy("node").agg(F.sum("members").alias("weight"))
     hubs = met.join(weights, "node").groupBy("key").agg(F.max_by("node", F.struct("weight", "node")).alias("hub"))
     shared = stages.put("jaccard-shared", met.drop("members").join(hubs, "key"))
