@@ -108,6 +108,20 @@ def test_base_counts_and_bands(spark, documents, prose):
     assert quality.judged(table.limit(0)).count() == 0
 
 
+def test_copies_do_not_move_the_band(spark, documents, prose):
+    rnd = random.Random(8)
+    docs = [(i, prose(rnd.randrange(60, 140), i), "en", "a") for i in range(40)]
+    docs += [(50 + i, " ".join(f"Z{i}!Q{k}" for k in range(90)), "en", "a") for i in range(2)]
+    alone = {r["doc_id"]: (r["bits"], r["kept"]) for r in quality.judged(documents(docs)).collect()}
+    assert sum(kept for _, kept in alone.values()) >= 30
+    for copies in (15, 130):  # a quarter and three quarters of the rows of the language
+        more = docs + [(1000 + i if i % 2 else None, docs[0][1], "en", "a") for i in range(copies)]
+        got = quality.judged(documents(more)).collect()
+        assert len(got) == len(more)
+        assert {r["doc_id"]: (r["bits"], r["kept"]) for r in got if r["doc_id"] is not None and r["doc_id"] < 1000} == alone
+        assert {(r["bits"], r["kept"]) for r in got if r["doc_id"] is None or r["doc_id"] >= 1000} == {alone[0]}
+
+
 def test_good_documents_stay(spark):
     docs, labels = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "labels"))
     good = quality.judged(docs).join(labels, "doc_id").where("quality = 1 and not base_failed")
