@@ -128,6 +128,15 @@ def test_good_documents_stay(spark):
     assert good.where("kept").count() >= 0.9 * good.count()
 
 
+def test_bad_documents_go(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    seen = quality.judged(docs).join(labels, "doc_id").where("not base_failed").select("lang", "quality", "kept").toPandas()
+    share = seen.groupby(["lang", "quality"])["kept"].mean()
+    assert set(share.index.get_level_values(0)) == {"de", "en", "es", "fr"}
+    for lang, bad in (("de", 0.05), ("en", 0.02), ("es", 0.4), ("fr", 0.2)):
+        assert share[lang, 0] <= bad and share[lang, 1] >= 0.95, (lang, share[lang, 0], share[lang, 1])
+
+
 # licenses
 
 def test_blocks_equal_those_of_all_templates(spark, documents):
