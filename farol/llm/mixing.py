@@ -21,12 +21,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 SOURCE = ["no_source", "source"]
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """Row identity, source, size in words and place in the shuffled queue of each document."""
+def sized(docs: DataFrame, *more: Column) -> DataFrame:
+    """Row identity, source, size in words and place in the shuffled queue of each document, and the columns ``more``."""
     text = F.col("text").cast("string")
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col("source").cast("string").alias("origin"),
-        F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size")).select(
+        F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"), *more).select(
         "*", F.col("origin").isNull().alias("no_source"), F.coalesce("origin", F.lit("")).alias("source"),
         F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("turn")).withColumn("range", F.substring("turn", 1, 3))
 
@@ -72,13 +72,17 @@ def queued(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), percent: int =
     weights in turn. A null text has no words; texts without words and empty sources get 0. Ties in the hash
     go by doc_id and size; repeated rows stand in the queue each. An empty table gives an empty result.
     """
-    stages = Stages(ready(docs.sparkSession))
-    rows = stages.put("mixing-sizes", sized(docs))
+    return _queued(Stages(ready(docs.sparkSession)).put("mixing-sizes", sized(docs)), weights, percent, repeats)
+
+
+def _queued(rows: DataFrame, weights: tuple[int, ...] = (3, 1, 2), percent: int = 150, repeats: int = 2) -> DataFrame:
+    """``queued`` from sizes; a ``row_id`` in them settles the ties of repeated rows and is kept."""
+    row = [c for c in rows.columns if c == "row_id"]
     ranges = rows.groupBy(*SOURCE, "range").agg(F.sum("size").alias("in_range"))
     before = F.sum("in_range").over(Window.partitionBy(*SOURCE).orderBy("range")) - F.col("in_range")
     ranges = ranges.select(*SOURCE, "range", before.alias("before_range"))
     goals = targets(rows, weights, percent, repeats)
-    inside = F.sum("size").over(Window.partitionBy(*SOURCE, "range").orderBy("turn", "doc_id", "size", "text_hash").rowsBetween(
+    inside = F.sum("size").over(Window.partitionBy(*SOURCE, "range").orderBy("turn", "doc_id", "size", "text_hash", *row).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)) - F.col("size")
     placed = rows.join(ranges, [*SOURCE, "range"]).withColumn("before", F.col("before_range") + inside).join(goals, SOURCE)
 
@@ -88,7 +92,7 @@ def queued(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), percent: int =
         return F.struct(F.lit(n + 1).alias("copy"), (start / time).alias("start"), ((start + F.col("size")) / time).alias("finish"),
                         _taken(start, F.col("size"), F.col("target")).alias("taken"))
 
-    return placed.select("doc_id", "text_hash", F.col("origin").alias("source"), "size", "source_size", "target",
+    return placed.select(*row, "doc_id", "text_hash", F.col("origin").alias("source"), "size", "source_size", "target",
                          F.array(*[copy(n) for n in range(repeats)]).alias("copies"))
 
 
@@ -105,8 +109,9 @@ def mixed(docs: DataFrame, **share) -> DataFrame:
 
 def mixed_documents(docs: DataFrame, **share) -> DataFrame:
     """The documents of the mix with their columns, one row per copy in it, and ``copy``, ``finish`` and ``taken``."""
-    names = {"__id": "doc_id", "__hash": "text_hash", "__copy": "copy", "__finish": "finish", "__taken": "taken"}
-    copies = schedule(docs, **share).select(*[F.col(v).alias(k) for k, v in names.items()]).distinct()
-    joined = docs.join(copies, docs["doc_id"].cast("long").eqNullSafe(copies["__id"]) & (F.xxhash64(docs["text"].cast("string")) == copies["__hash"]))
-    kept = [docs[c] for c in docs.columns if c not in ("copy", "finish", "taken")]
-    return joined.select(*kept, *[copies[f"__{c}"].alias(c) for c in ("copy", "finish", "taken")])
+    stages, added = Stages(ready(docs.sparkSession)), ("copy", "finish", "taken")
+    rows = stages.put("mixing-rows", docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), F.monotonically_increasing_id().alias("row_id")))
+    sizes = stages.put("mixing-sizes", sized(rows.select("row_id", "doc.doc_id", "doc.text", "doc.source"), F.col("row_id")))
+    copies = _queued(sizes, **share).select("row_id", F.inline("copies")).where("taken > 0")
+    kept = [F.col("doc").getField(c).alias(c) for c in docs.columns if c not in added]
+    return rows.join(copies, "row_id").select(*kept, *added)

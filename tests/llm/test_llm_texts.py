@@ -208,6 +208,18 @@ def test_sources_meet_their_targets(spark, documents, prose):
     assert mixed(documents(docs).limit(0)).count() == 0 and mixed(documents([(1, None, "en", "a")])).first()["taken"] == 0
 
 
+def test_repeated_rows_are_sent_once_each(spark, documents, prose):
+    docs = [(i, prose(20, i), "en", "a") for i in range(12)]
+    docs += [(50, prose(30, 50), "en", "a")] * 3 + [(None, prose(25, 51), "en", "b")] * 3 + [(60, prose(9, 60), "en", s) for s in ("a", "b", None)]
+    table = documents(docs)
+    got, queue = mixed_documents(table).collect(), schedule(table).collect()
+    assert sorted((r["finish"], r["taken"], r["copy"], r["doc_id"] or -1, r["source"] or "") for r in got) == sorted(
+        (r["finish"], r["taken"], r["copy"], r["doc_id"] or -1, r["source"] or "") for r in queue)
+    budget = 1.5 * sum(len(d[1].split()) for d in docs)
+    assert budget - 3 <= sum(r["taken"] for r in got) <= budget
+    assert max(collections.Counter((r["doc_id"], r["source"], r["copy"]) for r in got).values()) == 3
+
+
 # languages
 
 def test_held_out_languages(spark):
