@@ -170,3 +170,9 @@ SELECT page_id AS record_id, url_key, refers_to, outcome, CASE WHEN outcome IN (
   CASE WHEN outcome IN ('resolved', 'unchecked') THEN sha256(full_html) END AS payload_sha256
 FROM judged
 """
+
+ORACLES["op12_exact_dedup"] = """
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept,
+  sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
+"""

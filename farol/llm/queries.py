@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from farol.llm.chat_tree import chat_digests
 from farol.llm.common import Job
 from farol.llm.decontaminate import contaminated
+from farol.llm.exact_dedup import copy_groups
 from farol.llm.jaccard import near_duplicates
 from farol.llm.language import predicted_languages
 from farol.llm.licenses import license_scan
@@ -16,6 +18,7 @@ from farol.llm.quality import judged
 from farol.llm.revisits import revisit_digests
 from farol.llm.suffix_dedup import digest
 from farol.llm.url_filter import judged_urls
+from farol.llm.whitening import whitened
 
 QUERIES: dict[str, Job] = {}
 
@@ -82,4 +85,16 @@ def op10_url_filter(spark, folder):
     return judged_urls(table(spark, folder, "pages"))
 
 
+@query
+def op12_exact_dedup(spark, folder):
+    return copy_groups(table(spark, folder, "documents"), text_sha256=F.sha2(F.coalesce("text", F.lit("")), 256))
+
+
+@query
+def op13_whitening(spark, folder):
+    rows = whitened(table(spark, folder, "embeddings"))
+    return rows.select("vec_id", "n", "deviation", "identity_error", F.inline(F.transform(F.arrays_zip("white", "explained"), lambda c, i: F.struct(
+        (i + 1).cast("int").alias("component"), c["white"].alias("whitened"), c["explained"].alias("explained")))))
+
+
 __all__ = ["ORACLES", "QUERIES"]
