@@ -109,7 +109,7 @@ def test_huge_and_constant_entries(spark, vectors):
     x = [[math.floor(1024 * c) for c in v] for _, v in table]
     assert n == 20 and sums == [sum(c) for c in zip(*x)]
     assert matrix == [[n * sum(r[i] * r[j] for r in x) - sums[i] * sums[j] for j in range(3)] for i in range(3)]
-    got = whitened(vectors(table + [(50, [3e38, 0.0, 0.0])])).collect()
+    got = whitened(vectors(table + [(50, [3e38, 5.0, 0.0])])).collect()
     assert len(got) == 21 and all(len(r["white"]) == 2 for r in got) and all(r["identity_error"] < 1e-4 for r in got)
 
 
