@@ -15,6 +15,7 @@ from farol.llm.licenses import license_scan
 from farol.llm.mixing import mixed
 from farol.llm.oracles import ORACLES
 from farol.llm.quality import judged
+from farol.llm.ranked_search import ranked
 from farol.llm.revisits import revisit_digests
 from farol.llm.suffix_dedup import digest
 from farol.llm.url_filter import judged_urls
@@ -85,6 +86,11 @@ def op10_url_filter(spark, folder):
     return judged_urls(table(spark, folder, "pages"))
 
 
+@query
+def op11_ranked_search(spark, folder):
+    return ranked(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 @query
 def op12_exact_dedup(spark, folder):
     return copy_groups(table(spark, folder, "documents"), text_sha256=F.sha2(F.coalesce("text", F.lit("")), 256))
