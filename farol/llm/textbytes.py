@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +32,23 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-@cache
+class _Memo(dict):
+    """Values kept by a process; they do not travel with the functions that use them."""
+
+    def __reduce__(self):
+        return dict, ()
+
+
+_POWERS = _Memo()
+
+
 def _powers(seed: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    if (seed, size) not in _POWERS:
+        _POWERS[seed, size] = _powers_of(seed, size)
+    return _POWERS[seed, size]
+
+
+def _powers_of(seed: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     base = int(np.random.default_rng(seed).integers(1 << 61)) * 8 + 5
     back = pow(base, -1, 1 << 64)
     up, down = np.full(size, base, np.uint64), np.full(size, back, np.uint64)
