@@ -6,6 +6,7 @@ import collections
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -78,14 +79,14 @@ def test_model_equals_the_formula(spark, documents, prose):
     texts = [prose(80, k) for k in range(6)] + ["Éa 1\nb"]
     stages = Stages(ready(spark))
     model = quality.language_models(documents([(i, t, "en") for i, t in enumerate(texts)]), stages).toPandas()
-    hashed = quality.HashedModel(model["kind"].to_numpy(), model["gram"].to_numpy(), model["value"].to_numpy())
+    hashed = quality.hashed_model(model["kind"].to_numpy(), model["gram"].to_numpy(), model["value"].to_numpy())
     p, grams = kneser_ney(texts), [(0, 0, 5), (1, 2, 3), (200, 1, 1)]
     for text in texts[:2] + ["zq xj Q"]:
         codes = [0, 0, *(int(c) for c in quality.CLASS_OF[list(text.encode())])]
         grams += zip(codes, codes[1:], codes[2:])
     grams = [g for g in grams if max(g) < quality.CLASSES]
     code = np.array([(a * quality.CLASSES + b) * quality.CLASSES + c for a, b, c in grams])
-    assert np.allclose(hashed.bits(code), [-math.log2(p(g)) for g in grams], atol=1e-3)
+    assert np.allclose(quality.model_bits(hashed, code), [-math.log2(p(g)) for g in grams], atol=1e-3)
     total = sum(p((5, 6, z)) for z in range(quality.CLASSES))
     assert abs(total - 1) < 1e-6
 
@@ -286,8 +287,8 @@ def test_items_are_found_within_their_edits(spark, documents, prose):
     for d, text in docs:
         for i, item in items:
             p = flat(item).strip()
-            if i is not None and len(p) >= 12:
-                budget = min(len(p) * 6 // 100, (len(p) - 12) // 12)
+            if i is not None and p:
+                budget = len(p) * 6 // 100
                 if len(flat(text)) < 5000 and (n := edits(p, flat(text))) <= budget:
                     want[d, i] = n
     assert got == want and len(want) > 30
@@ -297,6 +298,41 @@ def test_items_are_found_within_their_edits(spark, documents, prose):
     assert contaminated(documents(docs), table.limit(0)).count() == 0 and contaminated(documents(docs).limit(0), table).count() == 0
 
 
+def test_short_and_repetitive_items_at_their_full_budget(spark, documents):
+    rnd = random.Random(11)
+    items = [(m, "".join(rnd.choice("abcd ") for _ in range(m - 2)).strip().ljust(m, "a")) for m in range(3, 41)]
+    items += [(60, "ab " * 60), (61, "abc" * 20), (62, "a" * 50), (63, "x")]
+    docs = []
+    for i in range(120):
+        chars = list(rnd.choice(items)[1])
+        for _ in range(rnd.choice([0, 1, 1, 2, 3, 10])):
+            k = rnd.randrange(len(chars))
+            chars[k:k + 1] = rnd.choice([[], ["b"], [chars[k], "c"]]) if len(chars) > 1 else chars
+        docs.append((i, "".join(rnd.choices("abcd ", k=rnd.randint(0, 30))) + "".join(chars) + "".join(rnd.choices("abcd ", k=rnd.randint(0, 30)))))
+    table = spark.createDataFrame(items, "item_id long, text string")
+    got = contaminated(documents(docs), table).collect()
+
+    def flat(text):
+        return re.sub(r"[ \t-\r]+", " ", text).encode()
+
+    want = {(d, i): n for d, text in docs for i, item in items if (n := edits(flat(item).strip(), flat(text))) <= len(flat(item).strip()) * 6 // 100}
+    assert {(r["doc_id"], r["item_id"]): r["edits"] for r in got} == want and len(want) > 100
+    for r in got:
+        part = dict(docs)[r["doc_id"]].encode()[r["start"]:r["end"]].decode()
+        assert edits(flat(dict(items)[r["item_id"]]).strip(), flat(part)) == r["edits"]
+
+
+def test_long_repetitive_texts_take_time_and_memory_in_proportion():
+    from farol.llm.decontaminate import _matches, item_index
+
+    index = item_index([(1, "ab " * 60)], 6)
+    for n in (3_000, 48_000):
+        data = np.frombuffer(b"ab " * n, np.uint8)
+        started = time.time()
+        assert [m[:3] for m in _matches(index, data, np.array([0, len(data)]))] == [(0, 0, 0)]
+        assert time.time() - started < 4
+
+
 def test_blocks_hold_every_text_once():
     import pyarrow as pa
 
