@@ -9,22 +9,15 @@ from pyspark.sql import functions as F
 
 from farol.functions import dates, numeric, text
 
-# Literal sources a rule may name instead of a column.
-LITERALS = {"LIT_NAO_SE_APLICA": "N/A", "LIT_VAZIO": ""}
-
 
 @dataclass(frozen=True)
 class Rule:
-    """One output column: source column (or literal), target name and type."""
+    """One output column: source column (or a literal in its place), target name and type."""
 
     source: str
     target: str
     kind: str = "text"
-
-
-def rules(lines: str) -> list[Rule]:
-    """Rules from lines ``source target [type]``."""
-    return [Rule(*line.split()) for line in lines.strip().splitlines()]
+    literal: str | None = None
 
 
 #: Prefix of the columns that hold ``style_flags``.
@@ -60,8 +53,8 @@ def typed(c: Column, kind: str, pointed: Column | None = None) -> Column:
 
 
 def rule_column(df: DataFrame, rule: Rule) -> Column:
-    if rule.source in LITERALS:
-        return F.lit(LITERALS[rule.source]).alias(rule.target)
+    if rule.literal is not None:
+        return F.lit(rule.literal).alias(rule.target)
     source = F.col(rule.source) if rule.source in df.columns else F.lit(None).cast("string")
     flag = f"{POINTED}{rule.source}"
     return typed(source, rule.kind, F.col(flag) if flag in df.columns else None).alias(rule.target)

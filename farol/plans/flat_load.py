@@ -22,50 +22,45 @@ class FlatColumn:
     headers: list[str]
 
 
-def flat_columns(lines: str) -> list[FlatColumn]:
-    parts = [line.split() for line in lines.strip().splitlines()]
-    return [FlatColumn(target, kind, headers) for target, kind, *headers in parts]
-
-
 # Target, type, header spellings.
 CAPACITY_TABLE = "hospitais_leitos"
-CAPACITY_COLUMNS = flat_columns("""
-regiao_brasil_hospital text(12) regiao
-uf_hospital text(2) uf
-codigo_ibge text(7) co_ibge
-municipio_hospital text(60) municipio
-cnes text(7) cnes
-endereco_hospital text(60) no_logradouro
-numero_endereco_hospital text(10) nu_endereco
-complemento_endereco_hospital text(20) no_complemento
-bairro_hospital text(60) no_bairro
-cep_hospital text(8) co_cep
-nome_hospital text(200) nome_estabelecimento
-nome_razao_social_hospital text(60) razao_social
-tipo_gestao_do_hospital text(1) tp_gestao
-codigo_tipo_da_unidade text(2) co_tipo_unidade
-descricao_do_tipo_da_unidade text(60) ds_tipo_unidade
-natureza_juridica_do_hospital text(4) natureza_juridica
-descricao_da_natureza_juridica_do_hospital text(60) desc_natureza_juridica
-motivo_desabilitacao_hospital text(60) motivo_desabilitacao
-email text(60) no_email
-telefone text(40) nu_telefone
-leitos_sus int leitos_sus
-leitos_geral int leitos_existentes leitos_existente
-uti_total int uti_total_existente uti_total_exist
-uti_sus_total int uti_total_sus
-uti_adulto int uti_adulto_existente uti_adulto_exist
-uti_sus_adulto int uti_adulto_sus
-uti_pediatrico int uti_pediatrico_existente uti_pediatrico_exist
-uti_sus_pediatrico int uti_pediatrico_sus
-uti_neonatal int uti_neonatal_existente uti_neonatal_exist
-uti_sus_neonatal int uti_neonatal_sus
-uti_queimado int uti_queimado_existente uti_queimado_exist
-uti_sus_queimado int uti_queimado_sus
-uti_coronariana int uti_coronariana_existente uti_coronariana_exist
-uti_sus_coronariana int uti_coronariana_sus
-data_competencia_info month comp
-""")
+CAPACITY_COLUMNS = [
+    FlatColumn("regiao_brasil_hospital", "text(12)", ["regiao"]),
+    FlatColumn("uf_hospital", "text(2)", ["uf"]),
+    FlatColumn("codigo_ibge", "text(7)", ["co_ibge"]),
+    FlatColumn("municipio_hospital", "text(60)", ["municipio"]),
+    FlatColumn("cnes", "text(7)", ["cnes"]),
+    FlatColumn("endereco_hospital", "text(60)", ["no_logradouro"]),
+    FlatColumn("numero_endereco_hospital", "text(10)", ["nu_endereco"]),
+    FlatColumn("complemento_endereco_hospital", "text(20)", ["no_complemento"]),
+    FlatColumn("bairro_hospital", "text(60)", ["no_bairro"]),
+    FlatColumn("cep_hospital", "text(8)", ["co_cep"]),
+    FlatColumn("nome_hospital", "text(200)", ["nome_estabelecimento"]),
+    FlatColumn("nome_razao_social_hospital", "text(60)", ["razao_social"]),
+    FlatColumn("tipo_gestao_do_hospital", "text(1)", ["tp_gestao"]),
+    FlatColumn("codigo_tipo_da_unidade", "text(2)", ["co_tipo_unidade"]),
+    FlatColumn("descricao_do_tipo_da_unidade", "text(60)", ["ds_tipo_unidade"]),
+    FlatColumn("natureza_juridica_do_hospital", "text(4)", ["natureza_juridica"]),
+    FlatColumn("descricao_da_natureza_juridica_do_hospital", "text(60)", ["desc_natureza_juridica"]),
+    FlatColumn("motivo_desabilitacao_hospital", "text(60)", ["motivo_desabilitacao"]),
+    FlatColumn("email", "text(60)", ["no_email"]),
+    FlatColumn("telefone", "text(40)", ["nu_telefone"]),
+    FlatColumn("leitos_sus", "int", ["leitos_sus"]),
+    FlatColumn("leitos_geral", "int", ["leitos_existentes", "leitos_existente"]),
+    FlatColumn("uti_total", "int", ["uti_total_existente", "uti_total_exist"]),
+    FlatColumn("uti_sus_total", "int", ["uti_total_sus"]),
+    FlatColumn("uti_adulto", "int", ["uti_adulto_existente", "uti_adulto_exist"]),
+    FlatColumn("uti_sus_adulto", "int", ["uti_adulto_sus"]),
+    FlatColumn("uti_pediatrico", "int", ["uti_pediatrico_existente", "uti_pediatrico_exist"]),
+    FlatColumn("uti_sus_pediatrico", "int", ["uti_pediatrico_sus"]),
+    FlatColumn("uti_neonatal", "int", ["uti_neonatal_existente", "uti_neonatal_exist"]),
+    FlatColumn("uti_sus_neonatal", "int", ["uti_neonatal_sus"]),
+    FlatColumn("uti_queimado", "int", ["uti_queimado_existente", "uti_queimado_exist"]),
+    FlatColumn("uti_sus_queimado", "int", ["uti_queimado_sus"]),
+    FlatColumn("uti_coronariana", "int", ["uti_coronariana_existente", "uti_coronariana_exist"]),
+    FlatColumn("uti_sus_coronariana", "int", ["uti_coronariana_sus"]),
+    FlatColumn("data_competencia_info", "month", ["comp"]),
+]
 
 
 def select_flat(rows: DataFrame, columns: list[FlatColumn]) -> DataFrame:

@@ -34,6 +34,11 @@ def _at_month(leitos: DataFrame, month: Day) -> DataFrame:
     return where_latest(leitos, MONTH) if month is None else leitos.where(F.col(MONTH) == as_of_date(month))
 
 
+def _at_position(bnafar: DataFrame, position: Day) -> DataFrame:
+    """Rows of one position date, the newest when none is given."""
+    return where_latest(bnafar, POSITION) if position is None else bnafar.where(F.col(POSITION) == as_of_date(position))
+
+
 def facilities_with_beds(leitos: DataFrame, uf: str, column: str = "uti_sus_adulto", month: Day = None) -> DataFrame:
     """Q1: facilities of a state with beds of one kind at the newest month."""
     return _at_month(leitos, month).where((F.col("uf_hospital") == uf) & (F.col(column) > 0)).select(
@@ -49,9 +54,9 @@ def bed_totals(leitos: DataFrame, uf: str | None = None, month: Day = None) -> D
                     F.sum("leitos_sus").alias("total_leitos_sus"))
 
 
-def stock_by_program(bnafar: DataFrame) -> DataFrame:
+def stock_by_program(bnafar: DataFrame, position: Day = None) -> DataFrame:
     """Q3: stock and reporting facilities per program at the newest position."""
-    return where_latest(bnafar, POSITION).groupBy("sigla_programa_saude").agg(
+    return _at_position(bnafar, position).groupBy("sigla_programa_saude").agg(
         F.sum("quantidade_estoque").alias("total_itens_em_estoque"),
         F.count_distinct("codigo_cnes").alias("numero_estabelecimentos"))
 
@@ -74,10 +79,10 @@ def dearest_products(bps: DataFrame, year: int, k: int = 10) -> DataFrame:
 
 
 def facilities_stocking(leitos: DataFrame, bnafar: DataFrame, pattern: str, min_beds: int = 50,
-                        month: Day = None) -> DataFrame:
+                        month: Day = None, position: Day = None) -> DataFrame:
     """Q5: facilities that stock a product and have many public beds, a row per stock line."""
     beds = _at_month(leitos, month).where(F.col("leitos_sus") > min_beds).select("nome_hospital", "cnes")
-    lines = where_latest(bnafar, POSITION).where(F.col("descricao_produto").ilike(pattern)).select("codigo_cnes")
+    lines = _at_position(bnafar, position).where(F.col("descricao_produto").ilike(pattern)).select("codigo_cnes")
     return beds.join(lines, F.col("cnes") == F.col("codigo_cnes")).select("nome_hospital", "cnes")
 
 
@@ -97,9 +102,9 @@ def above_state_mean(leitos: DataFrame, uf: str, column: str = "uti_sus_neonatal
     ).where(F.col("media_municipal") > F.col("limite")).drop("limite")
 
 
-def expired_stock(bnafar: DataFrame, as_of: Day = None) -> DataFrame:
+def expired_stock(bnafar: DataFrame, as_of: Day = None, position: Day = None) -> DataFrame:
     """Q7: stock lines past their expiry that still hold a quantity, newest position."""
-    return where_latest(bnafar, POSITION).where(
+    return _at_position(bnafar, position).where(
         (F.col("data_validade") < as_of_date(as_of)) & (F.col("quantidade_estoque") > 0)
     ).select("descricao_produto", "numero_lote", "data_validade", "quantidade_estoque")
 
@@ -153,20 +158,20 @@ def expiring(as_of: Day, months: int = 0, days: int = 0, open_start: bool = Fals
 
 def facilities_with_expiring_dear_stock(leitos: DataFrame, bnafar: DataFrame, bps: DataFrame, min_mean: float = 100,
                                         column: str = "uti_sus_coronariana", as_of: Day = None, month: Day = None,
-                                        open_start: bool = False) -> DataFrame:
+                                        open_start: bool = False, position: Day = None) -> DataFrame:
     """Q12: facilities with beds of a kind and stock near expiry of products with a high mean price."""
     dear = bps.where(in_year("data_compra", F.year(as_of_date(as_of)) - 1)).groupBy("codigo_br").agg(
         mean_of(F.col("preco_unitario")).alias("media")).where(F.col("media") > min_mean)
-    lines = where_latest(bnafar, POSITION).where(expiring(as_of, months=3, open_start=open_start)).select(
+    lines = _at_position(bnafar, position).where(expiring(as_of, months=3, open_start=open_start)).select(
         "codigo_cnes", "co_catmat")
     lines = members(lines, dear, {"co_catmat": "codigo_br"})
     beds = _at_month(leitos, month).where(F.col(column) > 0).select("cnes", "nome_hospital")
     return beds.join(lines, F.col("cnes") == F.col("codigo_cnes")).select("cnes", "nome_hospital")
 
 
-def widespread_products(bnafar: DataFrame, min_states: int = 5, min_cities: int = 10) -> DataFrame:
+def widespread_products(bnafar: DataFrame, min_states: int = 5, min_cities: int = 10, position: Day = None) -> DataFrame:
     """Q13: products stocked in more than so many states and cities at the newest position."""
-    return where_latest(bnafar, POSITION).groupBy("descricao_produto").agg(
+    return _at_position(bnafar, position).groupBy("descricao_produto").agg(
         F.count_distinct("uf").alias("num_ufs"), F.count_distinct("codigo_ibge").alias("num_municipios"),
     ).where((F.col("num_ufs") > min_states) & (F.col("num_municipios") > min_cities))
 
@@ -222,9 +227,9 @@ def facilities_in_program(leitos: DataFrame, bnafar: DataFrame, pattern: str, co
 
 
 def makers_of_expiring_stock(bnafar: DataFrame, bps: DataFrame, days: int = 60, min_quantity: float = 100,
-                             as_of: Day = None, open_start: bool = False) -> DataFrame:
+                             as_of: Day = None, open_start: bool = False, position: Day = None) -> DataFrame:
     """Q19: makers of products whose stock is near expiry; both sides distinct before the join."""
-    lines = where_latest(bnafar, POSITION).where(
+    lines = _at_position(bnafar, position).where(
         expiring(as_of, days=days, open_start=open_start) & (F.col("quantidade_estoque") > min_quantity)
     ).select("co_catmat", "descricao_produto").distinct()
     makers = bps.select("codigo_br", "fabricante").distinct()

@@ -154,16 +154,9 @@ def test_number_rows(spark, tmp_path):
 
 def test_rules(spark):
     df = spark.createDataFrame([("5", "1,5", "-3,25", "202301", "x")], "a string, b string, c string, d string, e string")
-    wanted = shaping.rules("""
-        a n int
-        b q decimal
-        c lat latlong
-        d m date
-        missing t
-        missing_number k int
-        LIT_NAO_SE_APLICA anvisa
-        LIT_VAZIO blank
-    """)
+    rule = shaping.Rule
+    wanted = [rule("a", "n", "int"), rule("b", "q", "decimal"), rule("c", "lat", "latlong"), rule("d", "m", "date"), rule("missing", "t"),
+              rule("missing_number", "k", "int"), rule("", "anvisa", literal="N/A"), rule("", "blank", literal="")]
     row = shaping.project(df, wanted, ["e"]).first().asDict()
     assert {k: str(v) for k, v in row.items()} == {
         "e": "x", "n": "5", "q": "1.5000", "lat": "-3.250000000", "m": "2023-01-01", "t": "", "k": "0", "anvisa": "N/A", "blank": ""}
@@ -175,7 +168,7 @@ def test_alias_first_column_wins():
     assert chosen == {"uti_total": "UTI_TOTAL - EXIST", "uf": "UF"}
 
 
-def test_swap_repair_looks_at_the_first_values_only(spark):
+def test_swap_repair_takes_what_most_values_are(spark):
     good = [("f1", i, str(i), f"NAME {i}") for i in range(150)]
     bad = [("f2", i, f"NAME {i}", str(i)) for i in range(5)] + [("f2", 9, None, None)]
     # a late letter does not make a file swapped
