@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from farol.catalog import query, table
 from farol.functions import dates, numeric, text
 from farol.operators import shaping
+from farol.session import scratch_dir
 from farol.sources import listing
+from farol.sources.geojson import feature_names
 
 # Line breaks and blanks that the counterpart's trim() has to be told about.
 _WHITE = r"E' \t\n\r'"
@@ -212,3 +214,64 @@ def page_links_absolute(spark, folder):
 @query("page_body", r"SELECT page_id, md5(regexp_extract(html, '(?is)<body.*?>(.*?)</body\s*>', 1)) AS body FROM pages")
 def page_body(spark, folder):
     return table(spark, folder, "pages").select("page_id", F.md5(listing.page_body(F.col("html"))).alias("body"))
+
+
+# Listing pages over the addresses of ``pages``: four resources each, of five kinds; many of the linked pages are the first one.
+_KINDS = ["'/dados/leitos_' || CAST(2015 + n % 9 AS VARCHAR) || '_' || CAST(n AS VARCHAR) || '.csv'", "'pacote-' || CAST(2010 + n % 7 AS VARCHAR) || '.zip'",
+          "'doc-' || CAST(n AS VARCHAR) || '.pdf'", "'json_2020.zip'", "alvo"]
+_RESOURCES = f"""first_page AS (SELECT url AS first_url FROM pages ORDER BY page_id LIMIT 1),
+resources AS (SELECT page, alvo, n, CASE n % 5 WHEN 0 THEN {_KINDS[0]} WHEN 1 THEN {_KINDS[1]} WHEN 2 THEN {_KINDS[2]} WHEN 3 THEN {_KINDS[3]} ELSE {_KINDS[4]} END AS href
+  FROM (SELECT a.url AS page, a.page_id * 4 + i AS n, CASE WHEN (a.page_id * 4 + i) % 3 = 0 THEN first_url ELSE a.url END AS alvo
+    FROM pages a, first_page, (SELECT unnest([0, 1, 2, 3]) AS i))),
+hosts AS (SELECT *, regexp_extract(page, '^([a-zA-Z]+://[^/?#]*)', 1) AS host, regexp_extract(page, '^([^?#]*)', 1) AS plain_page FROM resources),
+links AS (SELECT *, CASE WHEN regexp_matches(href, '^[a-z]+://') THEN href WHEN starts_with(href, '/') THEN host || href
+  WHEN plain_page = host THEN host || '/' || href ELSE regexp_replace(plain_page, '[^/]*$', '') || href END AS link FROM hosts)"""
+
+
+def _listing(spark, folder):
+    """Pages whose html lists the four resources and has a button."""
+    pages = table(spark, folder, "pages").select("page_id", "url")
+    numbered = pages.withColumn("first_url", pages.select(F.min_by("url", "page_id")).scalar())
+
+    def item(i: int):
+        n = F.col("page_id") * 4 + i
+        text = n.cast("string")
+        href = (F.when(n % 5 == 0, F.concat(F.lit("/dados/leitos_"), (2015 + n % 9).cast("string"), F.lit("_"), text, F.lit(".csv")))
+                .when(n % 5 == 1, F.concat(F.lit("pacote-"), (2010 + n % 7).cast("string"), F.lit(".zip")))
+                .when(n % 5 == 2, F.concat(F.lit("doc-"), text, F.lit(".pdf"))).when(n % 5 == 3, F.lit("json_2020.zip"))
+                .otherwise(F.when(n % 3 == 0, F.col("first_url")).otherwise(F.col("url"))))
+        return F.concat(F.lit('<li class="resource-item"><a class="heading" href="/h">t</a><a href="'), href, F.lit('" class="resource-url-analytics">d</a></li>'))
+
+    button = F.concat(F.lit('<a class="btn btn-primary" href="/baixar/'), F.col("page_id").cast("string"), F.lit('.csv">b</a>'))
+    return numbered.select("url", F.concat(*[item(i) for i in range(4)], button).alias("html"))
+
+
+@query("file_links", "WITH " + _RESOURCES + r"""SELECT page, link,
+COALESCE(TRY_CAST(NULLIF(regexp_extract(link, '(\d{4})', 1), '') AS INTEGER), 0)::BIGINT AS year, COUNT(*) AS n FROM links WHERE n % 5 < 2 GROUP BY ALL""")
+def file_links(spark, folder):
+    """Data files that listing pages link to."""
+    return listing.file_links(_listing(spark, folder)).groupBy("page", "link", "year").agg(F.count("*").alias("n"))
+
+
+@query("second_hop", "WITH " + _RESOURCES + r""", buttons AS (SELECT regexp_replace(url, '#.*$', '') AS hop,
+min(regexp_extract(url, '^([a-zA-Z]+://[^/?#]*)', 1) || '/baixar/' || CAST(page_id AS VARCHAR) || '.csv') AS target FROM pages GROUP BY 1)
+SELECT page, link, COUNT(*) AS n FROM (SELECT page, link FROM links WHERE n % 5 < 2 OR n % 5 = 3
+UNION ALL SELECT page, target FROM links JOIN buttons ON regexp_replace(alvo, '#.*$', '') = hop WHERE n % 5 = 4
+  AND NOT regexp_matches(lower(alvo), '(\.(csv|zip)|\.pdf|xml|json)$')) GROUP BY 1, 2""")
+def second_hop(spark, folder):
+    """Files linked directly, and those behind the button of a linked page, which is the same page for many links."""
+    pages = _listing(spark, folder)
+    return listing.direct_or_second_hop(pages, pages).groupBy("page", "link").agg(F.count("*").alias("n"))
+
+
+@query("geojson_names", """SELECT c_name || ' São ' || CAST(c_custkey % 7 AS VARCHAR) AS name, upper(c_name) || ' SAO ' || CAST(c_custkey % 7 AS VARCHAR) AS name_key FROM customer""")
+def geojson_names(spark, folder):
+    """One collection in one file and on one line, cut into many tasks where features begin."""
+    rows = table(spark, folder, "customer")
+    feature = F.concat(
+        F.lit('{"type": "Feature", "properties": '), F.to_json(F.struct(F.concat("c_name", F.lit(" São "), (F.col("c_custkey") % 7).cast("string")).alias("name"), F.col("c_custkey").alias("id"))),
+        F.lit(', "geometry": {"type": "Point", "coordinates": ['), F.col("c_acctbal").cast("string"), F.lit(", 1.5]}}"))
+    path = scratch_dir(spark, "geojson")
+    opened = F.when(F.col("c_custkey") == rows.select(F.min("c_custkey")).scalar(), F.concat(F.lit('{"type": "FeatureCollection", "features": ['), feature)).otherwise(feature)
+    rows.select("c_custkey", opened.alias("value")).coalesce(1).sortWithinPartitions("c_custkey").select("value").write.option("lineSep", ", ").text(path)
+    return feature_names(spark, [path])

@@ -297,10 +297,11 @@ def pair_bleu(spark, folder):
     return bleu(_turns(spark, folder), ["conv_id", "turn"], "original", "paraphrase").withColumn("score", F.round("score", 6))
 
 
-def _records(spark, folder):
-    """Question/SQL records with every field of the corpus, made of the documents."""
-    return table(spark, folder, "documents").select(
-        F.col("lang").alias("original_nl_query"), F.col("text").alias("nl_query"), F.col("text").alias("sql_query"),
+def _records(spark, folder, docs=None):
+    """Question/SQL records with every field of the corpus, made of the documents; their SQL is ``sql`` or the text."""
+    docs = table(spark, folder, "documents") if docs is None else docs
+    return docs.select(
+        F.col("lang").alias("original_nl_query"), F.col("text").alias("nl_query"), F.col("sql" if "sql" in docs.columns else "text").alias("sql_query"),
         F.col("source").alias("complexity"), F.col("lang").alias("query_type"),
         F.split("text", " ").alias("tables_involved"),
         F.struct(F.replace("text", F.lit(" "), F.lit("\n")).alias("original_sql")).alias("generation_metadata"))
@@ -313,6 +314,27 @@ def catalogue_counts(spark, folder):
     return pairs.catalogue_counts(_records(spark, folder))
 
 
-@query("paraphrase_counts", "SELECT lang AS original_nl_query, COUNT(*) AS paraphrases, COUNT(*) AS same_sql FROM documents GROUP BY 1")
+@query("paraphrase_counts", """SELECT lang AS original_nl_query, COUNT(*) AS paraphrases,
+COUNT(*) FILTER (doc_id % 3 <> 0) AS same_sql FROM documents GROUP BY 1""")
 def paraphrase_counts(spark, folder):
-    return pairs.paraphrase_counts(_records(spark, folder))
+    """A third of the records has another SQL than its original."""
+    docs = table(spark, folder, "documents")
+    changed = F.when(F.col("doc_id") % 3 == 0, F.concat(F.coalesce("text", F.lit("")), F.lit(" LIMIT 1"))).otherwise(F.col("text"))
+    return pairs.paraphrase_counts(_records(spark, folder, docs.withColumn("sql", changed)))
+
+
+_PROFILED = [("l_orderkey", "bigint"), ("l_partkey", "bigint"), ("l_quantity", "double"), ("l_discount", "double"), ("l_returnflag", "string"), ("l_linestatus", "string")]
+
+
+@query("table_profile", "SELECT * FROM (" + "\nUNION ALL ".join(
+    f"""SELECT '{c}' AS "column", '{kind}' AS type, COUNT(*) AS records, COUNT(*) - COUNT({c}) AS missing, (COUNT(*) - COUNT({c})) * 100.0 / COUNT(*) AS percent,
+COUNT(DISTINCT {c}) AS distinct_values, """ + (
+        f"round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std, CAST(min({c}) AS DOUBLE) AS min, quantile_cont(CAST({c} AS DOUBLE), 0.25) AS q25, "
+        f"quantile_cont(CAST({c} AS DOUBLE), 0.5) AS q50, quantile_cont(CAST({c} AS DOUBLE), 0.75) AS q75, CAST(max({c}) AS DOUBLE) AS max, " if kind != "string" else
+        "NULL::DOUBLE AS mean, NULL::DOUBLE AS std, NULL::DOUBLE AS min, NULL::DOUBLE AS q25, NULL::DOUBLE AS q50, NULL::DOUBLE AS q75, NULL::DOUBLE AS max, ")
+    + f"(SELECT round(n / SUM(n) OVER (), 6) FROM (SELECT {c}, COUNT(*) AS n FROM lineitem WHERE {c} IS NOT NULL GROUP BY 1) ORDER BY n DESC LIMIT 1) AS top_share FROM lineitem"
+    for c, kind in _PROFILED) + ")")
+def table_profile(spark, folder):
+    out = profile.table_profile(table(spark, folder, "lineitem").select(*[c for c, _ in _PROFILED]))
+    share = F.round(F.get("top", 0)["share"], 6).alias("top_share")
+    return out.withColumns({c: F.round(c, 6) for c in ("mean", "std")}).select("*", share).drop("top")

@@ -56,6 +56,11 @@ def monthly_by_region(spark, folder):
     return beds.monthly_by_category(views.leitos(spark, folder), "regiao_brasil_hospital")
 
 
+@query("monthly_by_nature", _monthly("descricao_da_natureza_juridica_do_hospital"))
+def monthly_by_nature(spark, folder):
+    return beds.monthly_by_category(views.leitos(spark, folder), "descricao_da_natureza_juridica_do_hospital")
+
+
 @query("monthly_pivot", using(LEITOS) + """SELECT strftime(data_competencia_info, '%Y-%m-%d') AS data_competencia_info,
 CAST(SUM(CASE WHEN tipo_gestao_do_hospital = 'D' THEN leitos_geral END) AS BIGINT) AS "D",
 CAST(SUM(CASE WHEN tipo_gestao_do_hospital = 'E' THEN leitos_geral END) AS BIGINT) AS "E",
@@ -136,16 +141,20 @@ def _mean(column: str, name: str) -> str:
 
 _COMPLETE = using(BPS) + f""", medias AS (SELECT uf_instituicao, {_mean('quantidade_itens_comprados', 'media_itens')},
   {_mean('preco_total', 'preco_medio')}, {_mean('preco_unitario', 'preco_medio_unit')}
-  FROM bps WHERE regiao <> 'ASIA' GROUP BY 1),
+  FROM bps GROUP BY 1),
+dominio AS (SELECT n_name FROM nation UNION ALL SELECT n_name || ' NOVO' FROM nation WHERE n_regionkey = 2),
 completo AS (SELECT n_name AS uf, COALESCE(media_itens, 0) AS media_itens, COALESCE(preco_medio, 0) AS preco_medio,
-  COALESCE(preco_medio_unit, 0) AS preco_medio_unit FROM nation LEFT JOIN medias ON n_name = uf_instituicao)
+  COALESCE(preco_medio_unit, 0) AS preco_medio_unit FROM dominio LEFT JOIN medias ON n_name = uf_instituicao)
 """
 
 
 def _completed(spark, folder):
-    rows = views.bps(spark, folder, "uf_instituicao", "regiao", "quantidade_itens_comprados", "preco_total",
-                     "preco_unitario").where(F.col("regiao") != "ASIA")
-    return purchases.by_state(rows, table(spark, folder, "nation").select(F.col("n_name").alias("uf")))
+    """Means of all purchases; the domain has names that no purchase has."""
+    rows = views.bps(spark, folder, "uf_instituicao", "quantidade_itens_comprados", "preco_total", "preco_unitario")
+    names = table(spark, folder, "nation")
+    domain = names.select(F.col("n_name").alias("uf")).unionByName(
+        names.where("n_regionkey = 2").select(F.concat("n_name", F.lit(" NOVO")).alias("uf")))
+    return purchases.by_state(rows, domain)
 
 
 @query("complete_domain", _COMPLETE + "SELECT * FROM completo")

@@ -6,11 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from farol.functions import text
+from farol.functions.dates import period_bounds
 from farol.functions.numeric import per_thousand, percent_of
+from farol.operators.elections import DATE_SPELLINGS, elect, read_elected
 from farol.operators.joins import members
 from farol.operators.ranking import latest_rows, max_then_sum
 from farol.operators.shaping import month_totals
 from farol.plans.reference import CITY_SPELLINGS, states
+from farol.session import staged
 
 # The fourteen bed counts of a capacity row.
 BED_METRICS = [
@@ -68,6 +71,21 @@ def national_months(leitos: DataFrame, metrics: list[str] | None = None) -> Data
     return max_then_sum(known, ["cnes"], MONTH, metrics or MAIN_METRICS).orderBy(MONTH)
 
 
+def capacity_check(rows: DataFrame, month: str = MONTH, facility: str = "cnes", group: str = "source_file") -> DataFrame:
+    """Per file of text rows: months that read and that do not, the period, and rows that share a facility and month.
+
+    The spelling of the months is elected per file; the flag alone that some month reads would let one odd cell decide.
+    """
+    _, elected = staged(elect(rows, [month], DATE_SPELLINGS, group), "elected")
+    read = read_elected(rows.select(group, facility, month), elected, [month], DATE_SPELLINGS, group)
+    # rows are counted per facility and month first, which is all that the rest needs
+    counts = read.groupBy(group, facility, month).agg(F.count(F.lit(1)).alias("n"))
+    known = F.col(month).isNotNull()
+    return counts.groupBy(group).agg(
+        F.coalesce(F.sum(F.when(known, F.col("n"))), F.lit(0)).alias("valid"), F.coalesce(F.sum(F.when(~known, F.col("n"))), F.lit(0)).alias("invalid"),
+        *period_bounds(F.col(month)), F.coalesce(F.sum(F.when(known & (F.col("n") > 1), F.col("n"))), F.lit(0)).alias("repeated"))
+
+
 def per_capita(snapshot: DataFrame, people: DataFrame | None = None) -> DataFrame:
     """Beds per 1,000 inhabitants by state; ``people`` has uf, regiao and populacao."""
     reference = people if people is not None else states(snapshot.sparkSession)
@@ -86,13 +104,13 @@ def region_per_capita(by_state: DataFrame) -> DataFrame:
 
 
 def per_capita_summary(by_state: DataFrame) -> DataFrame:
-    """National mean and median of the state ratios: one row per state, 100 at most."""
+    """National mean and median of the state ratios, which are one row per state."""
     ratio = "leitos_geral_per_capita"
     return by_state.agg(F.avg(ratio).alias("media"), F.median(ratio).alias("mediana"))
 
 
 def state_extremes(by_state: DataFrame, k: int = 3) -> DataFrame:
-    """The k best and k worst equipped states, ranked in one pass over 100 rows at most."""
+    """The k best and k worst equipped states, ranked in one pass over the states."""
     ratio = "leitos_geral_per_capita"
     best, worst = (F.row_number().over(Window.orderBy(o, "uf_hospital")) for o in (F.desc(ratio), F.asc(ratio)))
     ranked = by_state.select("uf_hospital", ratio, best.alias("best"), worst.alias("worst"))

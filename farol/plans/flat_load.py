@@ -1,15 +1,20 @@
-"""Full reload of the flat capacity table from files with varying headers."""
+"""Full reload of the flat capacity table from files with varying headers.
+
+The text is parsed once and staged; the table, the month flags, the rejected rows and the file report are made of that.
+"""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from farol.functions import dates, numeric, text
 from farol.operators.shaping import resolve_aliases
-from farol.sources.delimited import read_delimited
+from farol.session import discard, staged
+from farol.sources.delimited import REJECTED, parse_once, read_delimited
 from farol.sources.tables import SOURCE, replace_table
 
 
@@ -65,9 +70,10 @@ CAPACITY_COLUMNS = [
 
 def select_flat(rows: DataFrame, columns: list[FlatColumn]) -> DataFrame:
     """Final names for the columns one header offers; unknown columns fall away."""
+    kept = [c for c in (SOURCE, "row_order", REJECTED) if c in rows.columns]
     chosen = resolve_aliases(
-        [c for c in rows.columns if c != SOURCE], {c.target: c.headers for c in columns})
-    return rows.select(SOURCE, *[F.col(source).alias(target) for target, source in chosen.items()])
+        [c for c in rows.columns if c not in kept], {c.target: c.headers for c in columns})
+    return rows.select(*kept, *[F.col(source).alias(target) for target, source in chosen.items()])
 
 
 def month_fits(rows: DataFrame, column: str) -> DataFrame:
@@ -89,13 +95,13 @@ def flat_value(c: Column, kind: str) -> Column:
     raise ValueError(f"unknown column type {kind}")
 
 
-def typed_rows(rows: DataFrame, columns: list[FlatColumn]) -> DataFrame:
-    """Every column of the schema, absent ones null."""
+def typed_rows(rows: DataFrame, columns: list[FlatColumn], fits: DataFrame | None = None) -> DataFrame:
+    """Every column of the schema, absent ones null. ``fits`` are the files' month flags when they are known."""
     kinds = {c.target: c.kind for c in columns}
     empty = {"int": "int", "decimal": "decimal(20,4)", "month": "date"}
     months = [c.target for c in columns if c.kind == "month" and c.target in rows.columns]
     for column in months:
-        flags = month_fits(rows, column)
+        flags = month_fits(rows, column) if fits is None else fits
         rows = rows.join(flags, SOURCE, "left").withColumn("__fits", F.coalesce("__fits", F.lit(False)))
     cells = [
         (flat_value(F.col(t), k) if t in rows.columns else F.lit(None).cast(empty.get(k, "string"))).alias(t)
@@ -103,12 +109,16 @@ def typed_rows(rows: DataFrame, columns: list[FlatColumn]) -> DataFrame:
     return rows.select(SOURCE, *cells)
 
 
+def _loses(rows: DataFrame, columns: list[FlatColumn]) -> dict[str, Column]:
+    """Per integer column that is there, whether a cell's fraction is cut."""
+    ints = [c.target for c in columns if c.kind == "int" and c.target in rows.columns]
+    return {c: numeric.loses_fraction(text.null_words(F.col(c), text.FLAT_NULL_WORDS)) for c in ints}
+
+
 def lossy_counts(rows: DataFrame, columns: list[FlatColumn]) -> DataFrame:
     """Values per integer column whose fraction is cut."""
-    ints = [c.target for c in columns if c.kind == "int" and c.target in rows.columns]
-    counts = rows.agg(*[
-        F.count_if(numeric.loses_fraction(text.null_words(F.col(c), text.FLAT_NULL_WORDS))).alias(c) for c in ints])
-    return counts.unpivot([], ints, "column", "lossy")
+    lossy = _loses(rows, columns)
+    return rows.agg(*[F.count_if(flag).alias(c) for c, flag in lossy.items()]).unpivot([], list(lossy), "column", "lossy")
 
 
 def read_flat(spark: SparkSession, paths: list[str], columns: list[FlatColumn] | None = None) -> DataFrame:
@@ -117,9 +127,41 @@ def read_flat(spark: SparkSession, paths: list[str], columns: list[FlatColumn] |
     return read_delimited(spark, paths, by_frequency=True, each=lambda part: select_flat(part, wanted))
 
 
+@dataclass
+class FlatLoad:
+    """The table that a reload made, its rejected rows and the report of its files, as tables beside it."""
+
+    table: DataFrame
+    rejects: DataFrame
+    report: DataFrame
+
+
+def load_flat(spark: SparkSession, paths: list[str], table: str = CAPACITY_TABLE, columns: list[FlatColumn] | None = None) -> FlatLoad:
+    """Replace the flat table by the rows of all files.
+
+    ``<table>__rejects`` gets the rows with more fields than their header, ``<table>__files`` a row per file: lines, rows,
+    long rows and integers whose fraction is cut.
+    """
+    wanted = columns or CAPACITY_COLUMNS
+    parsed, folders = parse_once(spark, paths, by_frequency=True, each=lambda part: select_flat(part, wanted)), []
+    try:
+        rows, fits = parsed.rows(), None
+        months = [c.target for c in wanted if c.kind == "month" and c.target in rows.columns]
+        if months:
+            # a written row per file: the join knows its size beforehand and does not shuffle the rows
+            folder, fits = staged(month_fits(rows, months[0]), "month-fits")
+            folders.append(folder)
+        replace_table(spark, table, typed_rows(rows, wanted, fits).drop(SOURCE))
+        replace_table(spark, f"{table}__rejects", parsed.rejects())
+        lossy = [F.when(flag, 1).otherwise(0) for flag in _loses(rows, wanted).values()]
+        replace_table(spark, f"{table}__files", parsed.report(lossy=reduce(lambda a, b: a + b, lossy, F.lit(0))))
+    finally:
+        discard(spark, *folders)
+        parsed.discard()
+    return FlatLoad(spark.table(table), spark.table(f"{table}__rejects"), spark.table(f"{table}__files"))
+
+
 def reload_flat(spark: SparkSession, paths: list[str], table: str = CAPACITY_TABLE,
                 columns: list[FlatColumn] | None = None) -> DataFrame:
     """Replace the flat table by the rows of all files; returns the table."""
-    wanted = columns or CAPACITY_COLUMNS
-    replace_table(spark, table, typed_rows(read_flat(spark, paths, wanted), wanted).drop(SOURCE))
-    return spark.table(table)
+    return load_flat(spark, paths, table, columns).table

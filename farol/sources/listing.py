@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from farol.functions.dates import first_year
+from farol.operators.joins import members, salted_lookup
 
 _HREF = r"""(?is)href\s*=\s*["']([^"']*)["']"""
 
@@ -84,17 +85,23 @@ def file_links(pages: DataFrame, item: str | None = "resource-item", css: str |
 
 def direct_or_second_hop(listing: DataFrame, pages: DataFrame, item: str | None = "resource-item",
                          css: str | None = "resource-url-analytics", button: str = "btn-primary") -> DataFrame:
-    """Data files linked directly, else the button on the linked page; documents are ignored."""
+    """Data files (page, link) linked directly, else by the button on the linked page; documents are ignored.
+
+    Linked addresses are resolved, without a fragment, before they meet the pages' own; of pages with one address the least
+    button target counts. A page that a large share of all links point to is met by salted rows.
+    """
     links = page_links(listing, item, css).withColumn("name", F.lower("href"))
     is_file = F.col("name").rlike(r"\.(csv|zip)$")
     ignored = F.col("name").rlike(r"(\.pdf|xml|json)$")
     direct = links.where(is_file).select("page", "link")
-    hops = links.where(~is_file & ~ignored).select("page", F.col("link").alias("hop"))
-    buttons = pages.select(
-        F.col("url").alias("hop"), F.get(_anchors(F.col("html"), button), 0).alias("tag")
-    ).where(F.col("tag").rlike(_HREF)).select(
-        "hop", absolute_url(F.col("hop"), F.regexp_extract("tag", _HREF, 1)).alias("link"))
-    return direct.unionByName(hops.join(buttons, "hop").select("page", "link"))
+    hops = links.where(~is_file & ~ignored).select("page", "href", F.regexp_replace("link", "#.*$", "").alias("hop"))
+    # the address is matched first; the html is read of pages that are linked
+    known = pages.select(F.regexp_replace("url", "#.*$", "").alias("hop"), "url", "html")
+    wanted = members(known, hops, {"hop": "hop"})
+    buttons = wanted.select("hop", "url", F.get(_anchors(F.col("html"), button), 0).alias("tag")).where(F.col("tag").rlike(_HREF)).groupBy("hop").agg(
+        F.min(absolute_url(F.col("url"), F.regexp_extract("tag", _HREF, 1))).alias("link"))
+    found = salted_lookup(hops, buttons, {"hop": "hop"}, ["link"], ["page", "href"])
+    return direct.unionByName(found.where(F.col("link").isNotNull()).select("page", "link"))
 
 
 def page_body(html: Column) -> Column:

@@ -11,8 +11,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from farol.operators import joins, keys, pairs, profile, quantiles, ranking, shaping
+from farol.operators import elections, joins, keys, pairs, profile, quantiles, ranking, shaping
 from farol.plans import beds
+from farol.session import discard, staged
 
 
 def test_lookup_matches_null_keys(spark):
@@ -95,14 +96,15 @@ def test_max_then_sum_counts_copies_once(spark):
     assert rows(ranking.max_then_sum(df, ["u"], "m", ["q"])) == [(1, 7)]
 
 
-@settings(max_examples=20, deadline=None)
+@settings(max_examples=10, deadline=None)
 @given(st.lists(st.tuples(st.sampled_from("abc"), st.one_of(st.none(), st.integers(-50, 50), st.floats(-1e6, 1e6))),
                 min_size=1, max_size=120),
-       st.sampled_from([2, 8, 64]))
-def test_exact_quantiles_equal_numpy(spark, data, buckets):
+       st.sampled_from([(1, 2), (3, 4), (1, 4096), (20_000, 4096)]))
+def test_exact_quantiles_equal_numpy(spark, data, split):
+    range_rows, quantiles.MOST_RANGES = split
     df = spark.createDataFrame([(k, None if v is None else float(v)) for k, v in data], "k string, v double")
     points = {"p0": 0.0, "p25": 0.25, "p50": 0.5, "p90": 0.9, "p100": 1.0}
-    got = {r["k"]: [r[p] for p in points] for r in quantiles.exact_quantiles(df, ["k"], "v", points, buckets).collect()}
+    got = {r["k"]: [r[p] for p in points] for r in quantiles.exact_quantiles(df, ["k"], "v", points, range_rows=range_rows).collect()}
     frame = pd.DataFrame(data, columns=["k", "v"]).dropna()
     want = {k: np.quantile(g["v"].astype(float), list(points.values())) for k, g in frame.groupby("k")}
     assert got.keys() == want.keys()
@@ -110,12 +112,91 @@ def test_exact_quantiles_equal_numpy(spark, data, buckets):
         assert got[k] == pytest.approx(list(want[k]), rel=1e-9, abs=1e-9)
 
 
+def test_weighted_quantiles(spark):
+    df = spark.createDataFrame([("a", 1.0, 3), ("a", 5.0, 1), (None, 2.0, 2), (None, 4.0, 2)], "k string, v double, n int")
+    got = quantiles.exact_quantiles(df, ["k"], "v", {"low": 0.5, "high": 0.9}, "n")
+    want = {"a": np.quantile([1, 1, 1, 5], [0.5, 0.9]), None: np.quantile([2, 2, 4, 4], [0.5, 0.9])}
+    assert {r["k"]: (r["low"], r["high"]) for r in got.collect()} == {k: pytest.approx(tuple(v)) for k, v in want.items()}
+
+
+def test_no_range_holds_more_than_a_hundredth_of_ten_million_values(spark):
+    n = 10_000_000
+    values = spark.range(n).select((F.pow(F.col("id"), 2) * F.when(F.col("id") % 3 == 0, -1).otherwise(1)).alias("v"))
+    folder, counts = staged(values.select(F.col("v").alias("__v"), F.lit(1).cast("bigint").alias("__c")), "many")
+    quantiles.MOST_RANGES = 4096
+    ranges = min(quantiles.MOST_RANGES, 1 << (n // quantiles.RANGE_ROWS).bit_length())
+    largest = quantiles._ranged(counts, ranges).groupBy("__b").count().agg(F.max("count")).first()[0]
+    assert largest <= n // 100
+    median = quantiles.exact_quantiles(values, [], "v", {"m": 0.5}).first()["m"]
+    numbers = np.arange(n, dtype=np.float64) ** 2
+    numbers[::3] *= -1
+    assert median == np.median(numbers)
+    discard(spark, folder)
+
+
+def test_wanted_ranges_are_cut_again(spark, monkeypatch):
+    monkeypatch.setattr(quantiles, "MOST_RANGES", 8)
+    values = spark.range(4000).select(F.expr("pmod(id * 7919, 4001) * 1.0").alias("v"))
+    got = quantiles.exact_quantiles(values, [], "v", {"a": 0.1, "b": 0.9}, range_rows=10).first()
+    want = values.agg(F.expr("percentile(v, array(0.1, 0.9))")).first()[0]
+    assert [got["a"], got["b"]] == pytest.approx(want)
+
+
 def test_global_median_with_a_heavy_value(spark):
     data = [(7.0,)] * 700 + [(float(i),) for i in range(300)]
     got = quantiles.exact_median(spark.createDataFrame(data, "v double"), [], "v").first()["median"]
     assert got == np.median([v for v, in data])
 
 
+def test_table_profile_is_that_of_pandas(spark):
+    data = [(i % 7 if i % 5 else None, float(i * i % 11), "abc"[i % 3] if i % 4 else None, None) for i in range(60)]
+    df = spark.createDataFrame(data, "i int, d double, s string, z string")
+    frame = pd.DataFrame(data, columns=["i", "d", "s", "z"])
+    got = {r["column"]: r for r in profile.table_profile(df, 2).collect()}
+    assert set(got) == set("idsz")
+    for c in "idsz":
+        assert got[c]["records"] == 60 and got[c]["missing"] == frame[c].isna().sum() and got[c]["distinct_values"] == frame[c].nunique()
+        shares = sorted(((-n, v) for v, n in Counter(frame[c].dropna()).items()), key=lambda x: (x[0], str(x[1])))[:2]
+        assert [t["share"] for t in got[c]["top"] or []] == pytest.approx([-n / frame[c].count() for n, _ in shares])
+        assert [float(t["value"]) if c in "id" else t["value"] for t in got[c]["top"] or []] == [v for _, v in shares]
+    for c in "id":
+        want = frame[c].describe()
+        assert [got[c][k] for k in ("mean", "std", "min", "q25", "q50", "q75", "max")] == pytest.approx(list(want[1:]))
+    assert got["s"]["mean"] is None and got["s"]["q50"] is None
+    empty = {r["column"]: r for r in profile.table_profile(df.limit(0)).collect()}
+    assert empty["d"]["records"] == 0 and empty["d"]["q50"] is None
+
+
+def test_correlations_with_missing_cells_and_without_spread(spark):
+    rnd = np.random.default_rng(3)
+    frame = pd.DataFrame(rnd.normal(size=(80, 4)) + 1e6, columns=list("abcd"))
+    frame["e"] = 5.0
+    frame.loc[::3, "b"] = np.nan
+    frame.loc[::7, "c"] = np.nan
+    df = spark.createDataFrame([tuple(None if x != x else float(x) for x in r) for r in frame.itertuples(index=False)], "a double, b double, c double, d double, e double")
+    got = {(r[0], r[1]): r[2] for r in profile.correlations(df, list("abcde")).collect()}
+    want = frame.corr()
+    for a in "abcd":
+        for b in "abcd":
+            assert got[a, b] == pytest.approx(want.loc[a, b], abs=1e-7)
+        assert got[a, "e"] is None
+    assert got["e", "e"] is None and len(got) == 25
+    none = {(r[0], r[1]): r[2] for r in profile.correlations(df.limit(0), ["a", "b"]).collect()}
+    assert set(none.values()) == {None}
+
+
+def test_election_takes_the_spelling_of_most_cells(spark):
+    rows_ = [("f1", "2024-01-05", "202401")] * 6 + [("f1", "202402", "x")] * 3 + [("f2", "202403", None)] * 4 + [("f2", "2024-01-01", None)] + [("f3", "?", "?")]
+    df = spark.createDataFrame(rows_, "f string, d string, m string")
+    elected = elections.elect(df, ["d", "m"], elections.DATE_SPELLINGS, "f")
+    got = {(r["f"], r["column"]): (r["spelling"], r["null_share"]) for r in elected.collect()}
+    assert got == {("f1", "d"): ("dates", pytest.approx(1 / 3)), ("f1", "m"): ("months", pytest.approx(1 / 3)), ("f2", "d"): ("months", pytest.approx(0.2)),
+                   ("f2", "m"): ("dates", None), ("f3", "d"): ("dates", 1.0), ("f3", "m"): ("dates", 1.0)}
+    read = elections.read_elected(df, elected, ["d", "m"], elections.DATE_SPELLINGS, "f")
+    assert read.columns == ["f", "d", "m"] and read.where("d is not null").count() == 10 and read.where("f = 'f2' and d = date'2024-03-01'").count() == 4
+    assert elections.elect(df.limit(0), ["d"], elections.DATE_SPELLINGS, "f").count() == 0
+
+
 def test_profile(spark):
     df = spark.createDataFrame(
         [("a", 1, None), ("a", 2, 2.0), (None, 3, 6.0), ("b", 4, 8.0)], "s string, i int, d double")

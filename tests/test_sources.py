@@ -100,6 +100,53 @@ def test_archives(spark, tmp_path):
     lines = archive_lines(spark, [one, two, none], spread=3)
     got = delimited.rows_from_lines(lines).select("id", "nome")
     assert rows(got) == [("1", "Belém"), ("2", "x"), ("5", "é"), ("5", "é"), ("5", "é")]
+    # archives above a size are streamed by name, with the same lines
+    streamed = archive_lines(spark, [one, two, none], largest=150)
+    assert rows(streamed) == rows(lines) and streamed.count() == 7
+
+
+def test_archive_lines_are_numbered_over_batches(spark, tmp_path, monkeypatch):
+    from farol.sources import archives
+
+    path = str(tmp_path / "long.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("d.csv", "".join(f"{i};x\n" for i in range(2 * archives.LINES_PER_BATCH + 5)))
+    lines = archive_lines(spark, [path])
+    assert lines.where(F.concat(F.col("pos").cast("string"), F.lit(";x")) == F.col("line")).count() == 2 * archives.LINES_PER_BATCH + 5
+
+
+def test_parse_once_keeps_rejects_and_counts_per_file(spark, tmp_path):
+    good = write(tmp_path / "good.csv", "a;b\n1;2\n3;4;\n5;6;7;8\n")
+    bad = write(tmp_path / "bad.csv", "nothing here\n")
+    other = write(tmp_path / "other.csv", "b,c,d\n9,8,7\n1,2,3,4\n\n")
+    parsed = delimited.parse_once(spark, [good, bad, other])
+    assert rows(parsed.rows().select("a", "b", "c", "d")) == [("1", "2", None, None), ("3", "4", None, None), (None, "9", "8", "7")]
+    assert sorted(r["fields"] for r in parsed.rejects().collect()) == [["1", "2", "3", "4"], ["5", "6", "7"]]
+    report = parsed.report(nines=F.when(F.col("b") == "9", 1).otherwise(0))
+    assert rows(report.select(F.regexp_extract("source_file", "[^/]*$", 0), "lines", "rows", "long_rows", "nines", "readable")) == [
+        ("bad.csv", 1, 0, 0, 0, False), ("good.csv", 4, 2, 1, 0, True), ("other.csv", 4, 1, 1, 1, True)]
+    assert parsed.totals == {"rows": 3, "long_rows": 2}
+    assert rows(parsed.rows().select("a", "b")) == rows(delimited.read_delimited(spark, [good, bad, other]).select("a", "b"))
+    parsed.discard()
+
+
+def test_a_large_feature_collection_is_cut_into_tasks(spark, tmp_path):
+    features = ", ".join(f'{{"type": "Feature", "properties": {{"name": "Ponto {{{i}}}", "n": {i}}}, "geometry": {{"coordinates": [[{i}, 2], [3, {i}]]}}}}' for i in range(30_000))
+    path = write(tmp_path / "big.json", f'{{"type": "FeatureCollection", "features": [{features}]}}')
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(256 << 10))
+    try:
+        names = feature_names(spark, [path])
+        per_task = names.groupBy(F.spark_partition_id()).count()
+        assert names.distinct().count() == 30_000 and per_task.count() >= 8 and per_task.agg(F.max("count")).first()[0] < 8_000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_features_with_the_mark_inside_are_read_whole(spark, tmp_path):
+    nested = write(tmp_path / "n.json", '{"features": [{"properties": {"name": "A", "more": {"properties": {"name": "B"}}}}, {"properties": {"name": "C"}}]}')
+    plain = write(tmp_path / "p.json", '{"features": [{"properties" : {"name": "D"}}, {"geometry": null, "properties": {}}]}')
+    assert rows(feature_names(spark, [nested, plain]).select("name")) == [("",), ("A",), ("C",), ("D",)]
 
 
 def test_geojson_and_population(spark, tmp_path):
