@@ -329,7 +329,7 @@ _PROFILED = [("l_orderkey", "bigint"), ("l_partkey", "bigint"), ("l_quantity", "
 @query("table_profile", "SELECT * FROM (" + "\nUNION ALL ".join(
     f"""SELECT '{c}' AS "column", '{kind}' AS type, COUNT(*) AS records, COUNT(*) - COUNT({c}) AS missing, (COUNT(*) - COUNT({c})) * 100.0 / COUNT(*) AS percent,
 COUNT(DISTINCT {c}) AS distinct_values, """ + (
-        f"round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std, CAST(min({c}) AS DOUBLE) AS min, quantile_cont(CAST({c} AS DOUBLE), 0.25) AS q25, "
+        f"round(avg({c}), 9) AS mean, round(stddev_samp({c}), 9) AS std, CAST(min({c}) AS DOUBLE) AS min, quantile_cont(CAST({c} AS DOUBLE), 0.25) AS q25, "
         f"quantile_cont(CAST({c} AS DOUBLE), 0.5) AS q50, quantile_cont(CAST({c} AS DOUBLE), 0.75) AS q75, CAST(max({c}) AS DOUBLE) AS max, " if kind != "string" else
         "NULL::DOUBLE AS mean, NULL::DOUBLE AS std, NULL::DOUBLE AS min, NULL::DOUBLE AS q25, NULL::DOUBLE AS q50, NULL::DOUBLE AS q75, NULL::DOUBLE AS max, ")
     + f"(SELECT round(n / SUM(n) OVER (), 6) FROM (SELECT {c}, COUNT(*) AS n FROM lineitem WHERE {c} IS NOT NULL GROUP BY 1) ORDER BY n DESC LIMIT 1) AS top_share FROM lineitem"
@@ -337,4 +337,4 @@ COUNT(DISTINCT {c}) AS distinct_values, """ + (
 def table_profile(spark, folder):
     out = profile.table_profile(table(spark, folder, "lineitem").select(*[c for c, _ in _PROFILED]))
     share = F.round(F.get("top", 0)["share"], 6).alias("top_share")
-    return out.withColumns({c: F.round(c, 6) for c in ("mean", "std")}).select("*", share).drop("top")
+    return out.withColumns({c: F.round(c, 9) for c in ("mean", "std")}).select("*", share).drop("top")
