@@ -1,11 +1,15 @@
 """License notices by an exact set-similarity join of text blocks and templates, with DataFrame functions only.
 
-A block (a line) matches a template if it holds at least ``percent`` % of the template's different words.
-Template words are ordered by their frequency in all documents, rarest first. A matching block must
-hold one of a template's first words, its prefix, so blocks are joined to templates by prefix words only;
-the number of template words in the block (length filter) and the places of the common word in both
-ordered lists (positional filter) bound the overlap that is still possible, and what is left is
-verified. Templates are a parameter: their words, not the documents', bound what is broadcast.
+A block is a window of consecutive words of the whole text, across its lines; it matches a template if it holds at least
+``percent`` % of the template's different words. The length filter bounds blocks from both sides: fewer words than the
+threshold asks for cannot match, and a block has at most 100 / percent times as many words as the template, so that a long text does
+not match by words that merely occur somewhere in it. The longest such window holds all that shorter ones hold, so only
+those of full length count, or the whole text where it is shorter.
+
+Template words are ordered by their frequency in all documents, rarest first. Every matching block is found by the rarest
+template word that it holds, which lies in the template's prefix: blocks are joined to templates by the places of
+prefix words only. The words from there on in that order (positional filter) bound what a block around the place can hold,
+and what is left is verified. Templates are a parameter: their words, not the documents', bound what is broadcast.
 """
 
 from __future__ import annotations
@@ -16,6 +20,8 @@ from pyspark.sql import functions as F
 from farol.llm.common import Stages, ready
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Rows of the prefix table that are still broadcast (a row has the words of its template as numbers); more are shuffled.
+MOST_BROADCAST = 20_000
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 #: Words that stand consecutively -> label.
@@ -65,8 +71,13 @@ def _places(words: Column, phrase: str) -> Column:
     return F.filter(numbers, lambda i: i.isNotNull())
 
 
-def scanned(docs: DataFrame, phrases: dict[str, str], vocabulary: list[str]) -> DataFrame:
-    """Words, phrase places and template words of every document."""
+def needed(words: int, percent: int) -> int:
+    """Template words that a block must hold."""
+    return -(-words * percent // 100)
+
+
+def scanned(docs: DataFrame, phrases: dict[str, str], templates, percent: int) -> DataFrame:
+    """Words, phrase places and template words of every document, with the places of the latter where a template is possible at all."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"),
                        spaced(lowered(F.col("text"))).alias("words"))
     rows = rows.withColumn("n_words", F.when(F.col("words") == "  ", 0).otherwise(
@@ -75,41 +86,58 @@ def scanned(docs: DataFrame, phrases: dict[str, str], vocabulary: list[str]) ->
     found = F.array(*[
         F.when(F.contains("words", F.lit(f" {phrase} ")), F.struct(F.lit(label).alias("label"), _places(listed, phrase).alias("places")))
         for phrase, label in phrases.items()])
-    return rows.select("doc_id", "text_hash", "n_words", F.array_compact(found).alias("found"),
-                       F.array_intersect(listed, F.array(*[F.lit(w) for w in vocabulary])).alias("known"))
-
-
-def matched(docs: DataFrame, frequency: dict[str, int], templates, percent: int) -> DataFrame:
-    """(doc_id, text_hash, line, label, containment) of all blocks that meet the threshold."""
-    spark = docs.sparkSession
+    vocabulary = sorted({w for _, notice in templates for w in notice.split()})
+    rows = rows.select("*", F.array_compact(found).alias("found"), F.array_intersect(listed, F.array(*[F.lit(w) for w in vocabulary])).alias("known"))
+    possible = F.lit(False)
+    for _, notice in templates:
+        own = sorted(set(notice.split()))
+        possible = possible | (F.size(F.array_intersect("known", F.array(*[F.lit(w) for w in own]))) >= needed(len(own), percent))
+    places = F.filter(F.transform(listed, lambda w, i: F.struct(i.alias("at"), w.alias("word"))), lambda h: h["word"].isin(vocabulary))
+    return rows.select("doc_id", "text_hash", "n_words", "found", "known", F.when(possible, places).alias("held"))
+
+
+def matched(base: DataFrame, frequency: dict[str, int], templates, percent: int) -> DataFrame:
+    """(doc_id, text_hash, label, containment) of blocks that meet the threshold, at least the best of each label and document."""
+    spark = base.sparkSession
     rank = {w: i for i, w in enumerate(sorted(frequency, key=lambda w: (frequency[w], w)))}
-    sets = [(label, sorted({rank[w] for w in notice.split()})) for label, notice in templates]
-    prefixes, needs = [], []
-    for number, (label, ranks) in enumerate(sets):
-        need = -(-len(ranks) * percent // 100)
-        needs.append(need)
-        prefixes += [(r, number, label, place, ranks, need) for place, r in enumerate(ranks[:len(ranks) - need + 1])]
-    prefixes = spark.createDataFrame(prefixes, "rank int, template int, label string, place int, ranks array<int>, need int")
-    vocabulary = F.array(*[F.lit(w) for w in sorted(rank)])
-    starts = F.array(*[F.lit(w) for w in sorted(rank) if any(rank[w] in r[:len(r) - n + 1] for (_, r), n in zip(sets, needs))])
-
-    lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"),
-                        F.posexplode(F.split(lowered(F.col("text")), "\n")).alias("line", "block"))
-    known = lines.select("doc_id", "text_hash", "line", F.array_intersect(F.split(F.trim(spaced(F.col("block"))), " "), vocabulary).alias("known"))
+    prefixes, longest = [], 1
+    for label, notice in templates:
+        ranks = sorted({rank[w] for w in notice.split()})
+        need, length = needed(len(ranks), percent), len(ranks) * 100 // percent
+        longest = max(longest, length)
+        prefixes += [(r, label, ranks, need, length) for r in ranks[:len(ranks) - need + 1]]
+    firsts = sorted({p[0] for p in prefixes})
+    table = spark.createDataFrame(prefixes, "rank int, label string, ranks array<int>, need int, length int")
+    if len(prefixes) <= MOST_BROADCAST:
+        table = F.broadcast(table)
+
     ordered = F.map_from_arrays(F.array(*[F.lit(w) for w in rank]), F.array(*[F.lit(i) for i in rank.values()]))
-    blocks = known.where((F.size("known") >= min(needs)) & F.arrays_overlap("known", starts)).withColumn(
-        "held", F.array_sort(F.transform("known", lambda w: F.element_at(ordered, w))))
-    pairs = blocks.select("doc_id", "text_hash", "line", "held", F.posexplode("held").alias("at", "rank")).join(F.broadcast(prefixes), "rank")
-    # the common words are this one and others after it in both orders, if it is the first common one
-    possible = F.least(F.size("ranks") - F.col("place"), F.size("held") - F.col("at"))
-    pairs = pairs.where((F.size("held") >= F.col("need")) & (possible >= F.col("need"))).dropDuplicates(["doc_id", "text_hash", "line", "template"])
-    shared = F.size(F.array_intersect("held", "ranks"))
-    return pairs.where(shared >= F.col("need")).select("doc_id", "text_hash", "line", "label", (shared / F.size("ranks")).alias("containment"))
+    rows = base.where("held IS NOT NULL").select("doc_id", "text_hash", F.transform("held", lambda h: F.struct(
+        h["at"].alias("at"), F.element_at(ordered, h["word"]).alias("rank"))).alias("held"))
+    # words at most ``longest`` places away are at most so many entries away
+    around = F.transform("held", lambda h, i: F.when(h["rank"].isin(firsts), F.struct(
+        h["at"].alias("at"), h["rank"].alias("rank"), F.slice("held", F.greatest(i + 1 - longest, F.lit(1)), F.lit(2 * longest + 1)).alias("near"))))
+    places = rows.select("doc_id", "text_hash", F.explode(F.filter(around, lambda a: a.isNotNull())).alias("place")).select("doc_id", "text_hash", "place.*")
+    pairs = places.join(table, "rank")
+    # template words around the place that are not rarer than its own
+    inside = F.filter("near", lambda x: (x["rank"] >= F.col("rank")) & F.array_contains("ranks", x["rank"])
+                      & (x["at"] > F.col("at") - F.col("length")) & (x["at"] < F.col("at") + F.col("length")))
+    pairs = pairs.select("doc_id", "text_hash", "at", "label", "need", "length", F.size("ranks").alias("words"), inside.alias("inside"))
+    pairs = pairs.where(F.size(F.array_distinct(F.transform("inside", lambda x: x["rank"]))) >= F.col("need"))
+
+    def held_from(start):
+        return F.size(F.array_distinct(F.transform(F.filter("inside", lambda x: (x["at"] >= start["at"]) & (x["at"] < start["at"] + F.col("length"))), lambda x: x["rank"])))
+
+    shared = F.array_max(F.transform(F.filter("inside", lambda s: s["at"] <= F.col("at")), held_from))
+    return pairs.select("doc_id", "text_hash", "label", "need", "words", shared.alias("shared")).where("shared >= need").select(
+        "doc_id", "text_hash", "label", (F.col("shared") / F.col("words")).alias("containment"))
 
 
 def license_scan(docs: DataFrame, percent: int = 80, templates=TEMPLATES, phrases: dict[str, str] | None = None) -> DataFrame:
     """documents -> one row per row: n_words, n_base, first_word, last_word, base_labels, labels, score.
 
+    A notice is found across line breaks, wrapped in any way; a long line counts by its windows like any other text. Very long
+    texts are scanned whole, and what is compared of them are the surroundings of rare template words.
     ``n_base`` counts the places of the phrases, ``first_word`` and ``last_word`` are the smallest and largest word number
     of them, null without any. ``labels`` adds the templates' labels. ``score`` is 1 if there is a phrase, else the largest
     containment of a template that meets the threshold, else 0. Null and empty texts have no words and no labels (empty text).
@@ -118,10 +146,10 @@ def license_scan(docs: DataFrame, percent: int = 80, templates=TEMPLATES, phrase
     spark = ready(docs.sparkSession)
     stages, phrases = Stages(spark), PHRASES if phrases is None else phrases
     vocabulary = sorted({w for _, notice in templates for w in notice.split()})
-    base = stages.put("licenses-base", scanned(docs, phrases, vocabulary))
+    base = stages.put("licenses-base", scanned(docs, phrases, templates, percent))
     counted = base.select(F.explode("known").alias("word")).groupBy("word").count()  # one row per template word
     frequency = dict.fromkeys(vocabulary, 0) | {r["word"]: r["count"] for r in counted.collect()}
-    hits = matched(docs, frequency, templates, percent).groupBy("doc_id", "text_hash").agg(
+    hits = matched(base, frequency, templates, percent).groupBy("doc_id", "text_hash").agg(
         F.collect_set("label").alias("more"), F.max("containment").alias("best")).select(
         F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), "more", "best")
 

@@ -55,7 +55,7 @@ SELECT doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed
 FROM sized LEFT JOIN ends USING (doc_id) LEFT JOIN joined USING (doc_id)
 """
 
-# Every line is held against every notice, every word number against every phrase.
+# Every window of words that starts at a word of a notice is held against that notice, every word number against every phrase.
 _NOTICES = ", ".join(f"('{label}', {_list(sorted(set(notice.split())))})" for label, notice in TEMPLATES)
 _PHRASES = ", ".join(f"('{label}', {_list(phrase.split())})" for phrase, label in PHRASES.items())
 ORACLES["op5_license_scan"] = rf"""
@@ -71,12 +71,14 @@ places AS (
   WHERE w[i:i + len(words) - 1] = words),
 base AS (
   SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, list(DISTINCT label) AS labels FROM places GROUP BY 1),
-lines AS (
-  SELECT doc_id, list_distinct(regexp_split_to_array(line, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w
-  FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM lowered)),
+numbered AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS spot FROM listed),
+asked AS (SELECT row_number() OVER () AS notice, label, len(words) AS n, (len(words) * 100) // 80 AS longest, words FROM notices),
+held AS (
+  SELECT doc_id, notice, label, n, longest, spot, word FROM numbered JOIN (SELECT notice, label, n, longest, unnest(words) AS word FROM asked) USING (word)),
 hits AS (
-  SELECT doc_id, label, CAST(len(list_intersect(w, words)) AS DOUBLE) / len(words) AS containment FROM lines, notices
-  WHERE 100 * len(list_intersect(w, words)) >= 80 * len(words)),
+  SELECT a.doc_id, a.label, CAST(count(DISTINCT b.word) AS DOUBLE) / a.n AS containment
+  FROM held a JOIN held b ON a.doc_id = b.doc_id AND a.notice = b.notice AND b.spot >= a.spot AND b.spot < a.spot + a.longest
+  GROUP BY a.doc_id, a.notice, a.label, a.n, a.spot HAVING 100 * count(DISTINCT b.word) >= 80 * a.n),
 more AS (SELECT doc_id, list(DISTINCT label) AS labels, max(containment) AS best FROM hits GROUP BY 1)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, first_word, last_word,
   coalesce(array_to_string(list_sort(base.labels), ','), '') AS base_labels,

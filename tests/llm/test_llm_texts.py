@@ -145,6 +145,8 @@ def test_blocks_equal_those_of_all_templates(spark, documents):
     for i in range(60):
         label, notice = TEMPLATES[i % len(TEMPLATES)]
         words = notice.split()
+        if i % 3 == 0:
+            words = re.sub(r"((?:\S+ ){4,7})", r"\1\n// ", notice).split(" ")
         for _ in range(rnd.randrange(0, 1 + len(words) // 3)):
             words[rnd.randrange(len(words))] = rnd.choice(["foo", "bar", "the", "license"])
         docs.append((100 + i, f"Some text.\n{' '.join(words).title()}, and more; {rnd.choice(['', 'the license'])}\nunder the MIT  License under the mit license"[:rnd.choice([60, 400])]))
@@ -160,10 +162,11 @@ def test_blocks_equal_those_of_all_templates(spark, documents):
         places = [(i, label) for p, label in {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}.items()
                   for i in range(len(words)) if words[i:i + len(p.split())] == p.split()]
         more = {}
-        for line in low.split("\n"):
-            held = set(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", line))
-            for label, notice in TEMPLATES:
-                share = len(held & set(notice.split())) / len(set(notice.split()))
+        for label, notice in TEMPLATES:
+            own = set(notice.split())
+            length = len(own) * 100 // 80
+            for i in range(max(1, len(words) - length + 1)):
+                share = len(own & set(words[i:i + length])) / len(own)
                 if share >= 0.8:
                     more[label] = max(more.get(label, 0), share)
         assert r["n_words"] == len(words) and r["n_base"] == len(places)
@@ -174,6 +177,20 @@ def test_blocks_equal_those_of_all_templates(spark, documents):
     assert license_scan(documents(docs).limit(0)).count() == 0
 
 
+def test_wrapped_notices_are_found_and_scattered_words_are_not(spark, documents):
+    wrapped = [(i, "# " + re.sub(r"((?:\S+ ){7})", r"\1\n# ", notice).title()) for i, (_, notice) in enumerate(TEMPLATES)]
+    rnd = random.Random(5)
+    everything = [w for _, notice in TEMPLATES for w in notice.split()]
+    filler = [f"w{k}" for k in range(3000)]
+    for w in everything:
+        filler.insert(rnd.randrange(len(filler)), w)
+    scattered = " ".join(f"{w} x y z" for w in filler)
+    got = {r["doc_id"]: r for r in license_scan(documents([*wrapped, (100, scattered), (101, scattered.replace(" ", "\n"))])).collect()}
+    for i, (label, _) in enumerate(TEMPLATES):
+        assert label in got[i]["labels"].split(",")
+    assert got[100]["labels"] == got[101]["labels"] == "" and got[100]["score"] == 0
+
+
 # mixing
 
 def test_sources_meet_their_targets(spark, documents, prose):
