@@ -6,15 +6,16 @@ into ever finer buckets until a bucket stands for that many bytes:
 1. Buckets of q bytes: every suffix gets the identifier of its first 16 bytes. A suffix is listed
    under the least identifier at its offsets 0 .. length - 16, which equal strings share whatever
    document they are in; neighbouring suffixes mostly share it too, so a document lists few buckets.
-2. A bucket of several documents is refined, in the task that has it or, if it is a very frequent one, by
-   another shuffle on the refined identifiers: the identifier for 32 bytes of a suffix is the pair of
-   its 16-byte identifier and the one at the offset 16 later, that for 64 bytes the pair of 32-byte
-   ones, and so on. Refined identifiers are used again at once for the suffixes before them; the last
-   step takes overlapping offsets and ends at exactly ``length`` bytes.
+2. A bucket of several documents is refined in the task that has it. Its suffixes are sorted by their first 8 bytes; a
+   suffix then points to the start of its sub-bucket. From there on each bucket is sorted by the pointers that its
+   suffixes have at a later offset: 8 bytes on for 16, 16 on for 32, and so on, the last step ending at exactly ``length``
+   bytes. Pointers of a step are used by the next one for the suffixes before them, so nothing but the first 8 bytes is ever
+   compared as text. Sub-buckets of one document alone are left as they are after every step. In what remains at the
+   end, all suffixes but those of the first document are duplicates.
+3. A very frequent bucket is refined over all machines instead: by one more shuffle on the identifiers for ``length`` bytes, which
+   are pairs of identifiers at later offsets, too (two fingerprints of 64 bits, so that a string has one name everywhere).
 
-Identifiers are fingerprints of the bytes that a bucket stands for (two of 64 bits for whole strings),
-not ranks, so a bucket has one name on all machines and no step needs a global sort; within a bucket,
-suffixes come in the order of documents and all but those of the first document are duplicates.
+Runs of suffixes are cut to ``2 * length``, so what a task holds of a bucket is bounded in bytes.
 
 Stretches of text that are copied whole are settled before: a stretch between two content-defined
 places whose bytes an earlier document has goes, with all strings that start in it, and leaves only
@@ -36,15 +37,20 @@ from farol.llm.common import Stages, ready, texts
 from farol.llm.textbytes import Rolling, as_long, mix, text_blocks
 
 Q = 16  # bytes of the first buckets
+FIRST = 8  # bytes by which the suffixes of a bucket are sorted first
 BUCKET_ROWS = 50_000  # runs of suffixes that one task refines together
 STRETCH = 128  # mean bytes between two content-defined places
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
+LISTED = ["rank", "own"]  # what a list of buckets is kept by
 ID = ["rank", "text_hash"]  # place of the document in the order, and its text: a document's identity
 
 
 def ranked(docs: DataFrame) -> DataFrame:
     """Documents with their place in the order (their doc_id; null comes last) and a hash of their text."""
-    return texts(docs).select("doc_id", F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("rank"), F.xxhash64("text").alias("text_hash"), "text")
+    return texts(docs).select(
+        "doc_id", F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("rank"), F.xxhash64("text").alias("text_hash"), "text",
+        # tells documents without an id apart where lists are made
+        F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(0).alias("own"))
 
 
 def _spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -97,6 +103,14 @@ def _runs(wanted: np.ndarray, label: np.ndarray, offsets: np.ndarray) -> tuple[n
     return starts, ends, np.searchsorted(offsets, starts, "right") - 1
 
 
+def _pieces(starts: np.ndarray, ends: np.ndarray, owner: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs cut to at most ``most`` places."""
+    count = -(-(ends - starts) // most)
+    part = _spread(np.zeros(len(count), np.int64), count)
+    first = np.repeat(starts, count) + part * most
+    return first, np.minimum(first + most, np.repeat(ends, count)), np.repeat(owner, count)
+
+
 def _stretches(length: int):
     """Stretches between content-defined places, by the bytes that their suffixes' strings cover."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,8 +153,9 @@ def _buckets(length: int):
             for row, end, data, offsets in text_blocks(batch.column("text")):
                 wanted = _open(len(data), offsets, length) & ~_covered(len(data), *_ranges(batch, row, end, offsets, "settled"))
                 least = _least(data, length)
-                starts, _, owner = _runs(wanted, least, offsets)
-                yield pa.RecordBatch.from_arrays([batch.column("rank").take(pa.array(owner + row)), as_long(least[starts])], ["rank", "bucket"])
+                starts, _, owner = _pieces(*_runs(wanted, least, offsets), 2 * length)
+                at = pa.array(owner + row)
+                yield pa.RecordBatch.from_arrays([batch.column("rank").take(at), batch.column("own").take(at), as_long(least[starts])], [*LISTED, "bucket"])
 
     return run
 
@@ -156,7 +171,7 @@ def _shared(length: int):
                 pairs = mix(listed.field("bucket").to_numpy().view(np.uint64) + mix(owner.astype(np.uint64)))
                 order = np.argsort(pairs)
                 pairs, hot = pairs[order], listed.field("hot").to_numpy(zero_copy_only=False)[order]
-                starts, ends, owner = _runs(wanted, least, offsets)
+                starts, ends, owner = _pieces(*_runs(wanted, least, offsets), 2 * length)
                 mine = mix(least[starts] + mix(owner.astype(np.uint64)))
                 at = np.minimum(np.searchsorted(pairs, mine), len(pairs) - 1)
                 keep = pairs[at] == mine if len(pairs) else np.zeros(len(mine), bool)
@@ -200,24 +215,60 @@ def _strings(length: int):
 
 
 def _duplicates(rows: pa.RecordBatch, length: int) -> pa.RecordBatch:
-    """Runs of suffixes whose refined bucket has an earlier document, for rows that hold whole buckets."""
+    """Runs of suffixes whose refined bucket has an earlier document, for rows that hold whole buckets.
+
+    ``pointer`` is, for every place, the start of its bucket in the sorted order so far.
+    """
     _, _, data, offsets = next(text_blocks(rows.column("bytes"), 1 << 62))
-    open_ = _open(len(data), offsets, length)
-    places = np.flatnonzero(open_)
-    owner = np.searchsorted(offsets, places, "right") - 1
-    k1, k2 = _refined(data, length, 1)[places], _refined(data, length, 2)[places]
-    rank = rows.column("rank").to_numpy()[owner]
-    order = np.lexsort((rank, k2, k1))
-    new = np.ones(len(order), bool)
-    new[1:] = (k1[order][1:] != k1[order][:-1]) | (k2[order][1:] != k2[order][:-1])
-    first = rank[order][new][np.cumsum(new) - 1]
+    rank = np.repeat(rows.column("rank").to_numpy(), np.diff(offsets))
+    left = np.repeat(offsets[1:], np.diff(offsets)) - np.arange(len(data))  # bytes up to the end of the run
+    pointer, depth = np.zeros(len(data), np.int64), FIRST
+    live = np.flatnonzero(left >= FIRST)
+    key = np.zeros(len(data), np.uint64)
+    for k in range(FIRST):
+        key[:len(data) - k] = key[:len(data) - k] << np.uint64(8) | data[k:].astype(np.uint64)
+    live, start = _sorted(live, key[live])
+    pointer[live] = start
+    while True:
+        # of each bucket, the first and the last document
+        edge = np.flatnonzero(np.append(True, start[1:] != start[:-1])) if len(live) else live
+        size = np.diff(np.append(edge, len(live)))
+        first = np.repeat(np.minimum.reduceat(rank[live], edge), size) if len(live) else live
+        if depth == length:
+            break
+        last = np.repeat(np.maximum.reduceat(rank[live], edge), size) if len(live) else live
+        step = min(depth, length - depth)
+        live = live[(first < last) & (left[live] >= depth + step)]
+        # within a bucket, by the pointer at the later offset; new pointers stay below the next bucket's
+        live, start = _sorted(live, pointer[live].astype(np.uint64) << np.uint64(32) | pointer[live + step].astype(np.uint64), pointer[live])
+        pointer[live] = start
+        depth += step
     later = np.zeros(len(data), bool)
-    later[places[order[rank[order] > first]]] = True
+    later[live[rank[live] > first]] = True
     starts, ends, owner = _runs(later, np.zeros(len(data), np.int8), offsets)
     shift = rows.column("start").to_numpy()
     return _rows(rows, 0, owner, {"start": pa.array(shift[owner] + starts - offsets[owner]), "suffixes": pa.array(ends - starts)})
 
 
+def _sorted(places: np.ndarray, key: np.ndarray, base: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Places in the order of their key, and where the bucket of equal keys starts; within its former bucket, which starts at ``base``."""
+    order = np.argsort(key)
+    places, key = places[order], key[order]
+    at = np.arange(len(places))
+
+    def since(new: np.ndarray) -> np.ndarray:
+        return np.maximum.accumulate(np.where(new, at, 0))
+
+    new = np.ones(len(places), bool)
+    new[1:] = key[1:] != key[:-1]
+    if base is None:
+        return places, since(new)
+    base = base[order]
+    outer = np.ones(len(places), bool)
+    outer[1:] = base[1:] != base[:-1]
+    return places, base + since(new) - since(outer)
+
+
 def _grouped(length: int):
     """Rows in the order of buckets -> duplicate runs; a bucket is held until it is complete."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,21 +343,20 @@ def removed(docs: DataFrame, length: int = 50, bucket_rows: int = BUCKET_ROWS) -
     stages.drop("suffix-stretches")
 
     per_bucket = Window.partitionBy("bucket")
-    listed = _with(docs.drop("doc_id"), settled).mapInArrow(_buckets(length), "rank long, bucket long")
+    listed = _with(docs.drop("doc_id"), settled).mapInArrow(_buckets(length), "rank long, own long, bucket long")
     several = listed.withColumn("first", F.min("rank").over(per_bucket)).withColumn("last", F.max("rank").over(per_bucket)).withColumn(
         "hot", F.count("*").over(per_bucket) > bucket_rows).where("first < last")
-    buckets = stages.put("suffix-buckets", several.groupBy("rank").agg(F.collect_set(F.struct("bucket", "hot")).alias("buckets")))
+    buckets = stages.put("suffix-buckets", several.groupBy(*LISTED).agg(F.collect_set(F.struct("bucket", "hot")).alias("buckets")))
     any_hot = not buckets.where(F.exists("buckets", lambda b: b["hot"])).isEmpty()
 
-    wanted = _with(docs.drop("doc_id"), settled).join(buckets, "rank")
+    wanted = _with(docs.drop("doc_id"), settled).join(buckets, LISTED)
     runs = wanted.mapInArrow(_shared(length), f"{ident}, bucket long, hot boolean, start long, bytes binary")
     spans = settled.select(*ID, F.inline("settled"))
     in_bucket = runs.where("not hot").drop("hot").repartition("bucket").sortWithinPartitions("bucket")
     spans = spans.unionByName(in_bucket.mapInArrow(_grouped(length), f"{ident}, start long, suffixes long"))
     if any_hot:
         strings = runs.where("hot").select(*ID, "start", "bytes").mapInArrow(_strings(length), f"{ident}, k1 long, k2 long, start long")
-        first = F.min("rank").over(Window.partitionBy("k1", "k2"))
-        spans = spans.unionByName(strings.withColumn("first", first).where("rank > first").select(*ID, "start", F.lit(1).cast("long").alias("suffixes")))
+        spans = spans.unionByName(_later(strings, "start").withColumn("suffixes", F.lit(1).cast("long")))
     spans = stages.put("suffix-spans", _listed(spans, span, "settled"))
     stages.drop("suffix-buckets", "suffix-settled")
     return _with(docs, spans).mapInArrow(

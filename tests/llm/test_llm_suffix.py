@@ -67,3 +67,34 @@ def test_texts_keep_their_rows_and_whole_characters(spark, documents):
     assert got.columns == docs.columns
     assert sorted((r["doc_id"], r["text"], r["n_chars"]) for r in got.collect() if r["text"] is not None) == [
         (1, "a" + shared, 41), (2, "b", 1), (2, "other", 5)]  # the first byte of the last character also goes
+
+
+def test_refined_buckets_are_those_of_the_strings():
+    import pyarrow as pa
+
+    from farol.llm.suffix_dedup import _duplicates
+
+    rnd = random.Random(9)
+    for length in (16, 23, 50):
+        for alphabet in ("a", "ab", "abcd"):
+            runs = [(rnd.randrange(6), bytes(ord(rnd.choice(alphabet)) for _ in range(rnd.randrange(length, 3 * length)))) for _ in range(25)]
+            rows_ = pa.RecordBatch.from_pydict({
+                "rank": pa.array([r for r, _ in runs], pa.int64()), "text_hash": pa.array(range(len(runs)), pa.int64()), "bucket": pa.array([0] * len(runs), pa.int64()),
+                "start": pa.array([100 * i for i in range(len(runs))], pa.int64()), "bytes": pa.array([b for _, b in runs], pa.binary())})
+            got = {(r["text_hash"], r["start"] - 100 * r["text_hash"] + k) for r in _duplicates(rows_, length).to_pylist() for k in range(r["suffixes"])}
+            first = {}
+            for r, b in runs:
+                for p in range(len(b) - length + 1):
+                    first[b[p:p + length]] = min(first.get(b[p:p + length], 9), r)
+            assert got == {(i, p) for i, (r, b) in enumerate(runs) for p in range(len(b) - length + 1) if first[b[p:p + length]] < r}
+
+
+def test_a_third_without_an_id_lists_its_own_buckets_only(spark, documents, tangled):
+    docs = [(None if i % 3 == 0 else i, t) for i, t in tangled]
+    assert rows(digest(documents(docs), 50)) == cut(docs, 50)
+
+
+def test_texts_of_one_character(spark, documents):
+    docs = documents([(i, "z" * (2000 + i)) for i in range(30)])
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"]) for r in digest(docs, 50).collect()}
+    assert got == {i: (2000 + i, 2000 + i if i else 0, 1 if i else 0) for i in range(30)}
