@@ -238,6 +238,32 @@ def test_repeated_rows_are_sent_once_each(spark, documents, prose):
     assert max(collections.Counter((r["doc_id"], r["source"], r["copy"]) for r in got).values()) == 3
 
 
+@pytest.mark.parametrize("range_words", [1, 40, 1 << 16])
+def test_the_cut_of_the_global_order_is_where_targets_are_reached(spark, documents, prose, monkeypatch, range_words):
+    from farol.llm import mixing
+
+    monkeypatch.setattr(mixing, "RANGE_WORDS", range_words)
+    rnd = random.Random(range_words)
+    docs = [(None if i % 3 == 0 else i, prose(rnd.choice([1, 7, 60, 400]), i), "en", rnd.choice(["a", "b", "b", "b", "c", None])) for i in range(120)]
+    docs += [(500, prose(3000, 1), "en", "c"), (501, "", "en", "empty"), (502, "one two", "en", "tiny")]
+    got = mixing.queued(documents(docs)).collect()
+    by_source, words_of = collections.defaultdict(list), {}
+    for r in got:
+        by_source[r["source"]].append(r)
+    for source, rows_ in by_source.items():
+        target, size = rows_[0]["target"], sum(r["size"] for r in rows_)
+        assert size == rows_[0]["source_size"]
+        copies = sorted((c["start"], c["finish"], c["taken"], r["size"]) for r in rows_ if r["size"] for c in r["copies"])
+        sent = 0
+        for start, finish, taken, n in copies:
+            # all words of a source that finish by virtual time 1, in the order of its queue
+            assert taken == max(0, min(n, math.floor(target) - sent)) and abs(finish - (sent + n) / target) < 1e-9
+            sent += n
+        words_of[source] = sum(c[2] for c in copies)
+        assert words_of[source] == (math.floor(target) if size else 0)
+    assert len(by_source) == 6 and sum(words_of.values()) > 0
+
+
 # languages
 
 def test_held_out_languages(spark):
