@@ -38,8 +38,8 @@ def _bitmap(keys: DataFrame, *key: str) -> tuple[DataFrame, int]:
         F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("segment_bits")), bits
 
 
-def _marked(rows: DataFrame, keys: DataFrame, *key: str) -> DataFrame:
-    """``rows`` with ``again``: whether the bit of their key is set."""
+def marked(rows: DataFrame, keys: DataFrame, *key: str) -> DataFrame:
+    """``rows`` with ``again``: whether the bit of their key is set, which it is for all ``keys``, of the same types, and few others."""
     bitmap, bits = _bitmap(keys, *key)
     bit = _bit(bits, *key)
     byte = F.conv(F.hex(F.substring("segment_bits", (F.col("bit") % SEGMENT_BITS / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
@@ -57,9 +57,9 @@ def _refined(docs: DataFrame, stages: Stages, normalise, prefix: int, *more: Col
     """``more`` of every row, and ``full``: the hash of its text, or null where no other row can have it."""
     start = F.xxhash64(F.substring("body", 1, prefix)).alias("start")
     lengths = stages.put("exact-lengths", _measured(docs, normalise).groupBy("length").count().where("count > 1").select("length"))
-    starts = stages.put("exact-starts", _marked(_measured(docs, normalise), lengths, "length").where("again").select("length", start).groupBy(
+    starts = stages.put("exact-starts", marked(_measured(docs, normalise), lengths, "length").where("again").select("length", start).groupBy(
         "length", "start").count().where("count > 1").select("length", "start"))
-    rows = _marked(_measured(docs, normalise, *more).withColumn("start", start), starts, "length", "start")
+    rows = marked(_measured(docs, normalise, *more).withColumn("start", start), starts, "length", "start")
     return rows.withColumn("full", F.when(F.col("again"), F.sha2("body", 256))).drop("start", "again")
 
 

@@ -2,7 +2,8 @@
 
 The as-of join sorts only keys, times and validators, in day ranges per url: what a url had before a day comes
 from the last response of each earlier day, so a url with a third of all captures is not one task's.
-Payloads and headers are fetched afterwards, for the responses that are referred to.
+Payloads and headers are fetched afterwards, for the captures that are referred to: those are marked in the scan, so that the payloads of
+others are not shuffled.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from farol.llm.common import Stages, ready
+from farol.llm.exact_dedup import marked
 
 #: Headers that a not-modified answer may renew in the stored response.
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
@@ -46,7 +48,9 @@ def resolved(captures: DataFrame) -> DataFrame:
     last-modified dates. Outcomes: ``resolved``; ``unchecked`` without validators in the revisit; ``changed`` if they differ;
     ``missing`` without an earlier response. Only the first two get a payload and headers: the response's, renewed by the revisit's
     permitted ones. A null url is the empty url; rows with a null id, time or kind resolve nothing, and such revisits are
-    ``missing``. Repeated rows: revisits resolve each, a response counts once. Empty tables give an empty result.
+    ``missing``. Repeated rows: revisits resolve each, a response counts once. A record_id may stand for several captures: payload and
+    headers are those of the capture with the url and time that were found, the least payload (then headers) of several such. Payloads
+    of any length are passed through. Empty tables give an empty result; further columns are ignored.
     """
     stages = Stages(ready(captures.sparkSession))
     rows = captures.select("record_id", canonical(F.col("url")).alias("url_key"), F.unix_micros("at").alias("at"), F.to_date("at").alias("day"), "kind",
@@ -65,20 +69,28 @@ def resolved(captures: DataFrame) -> DataFrame:
                .when(F.col("modified").isNotNull(), F.when(F.col("found.modified").eqNullSafe(F.col("modified")), "resolved").otherwise("changed"))
                .otherwise("unchecked"))
     found = stages.put("revisits-found", found.select(
-        "record_id", "url_key", "at", F.col("found.record_id").alias("refers_to"), outcome.alias("outcome")))
+        "record_id", "url_key", "at", F.col("found.record_id").alias("refers_to"), F.col("found.at").alias("refers_at"), outcome.alias("outcome")))
     stages.drop("revisits-keys")
-    full = captures.where("kind = 'response' and at is not null").select(
-        F.col("record_id").alias("full_id"), F.col("headers").alias("full_headers"), F.col("payload").alias("full_payload")).dropDuplicates(["full_id"])
-    own = captures.where("kind = 'revisit'").select(F.col("record_id").alias("own_id"), F.unix_micros("at").alias("own_at"), F.col("headers").alias("own_headers")).dropDuplicates(
-        ["own_id", "own_at"])
+    capture = ["full_id", "full_key", "full_at"]
+    referred = stages.put("revisits-referred", found.where("outcome in ('resolved', 'unchecked')").select(
+        F.col("refers_to").alias("full_id"), F.col("url_key").alias("full_key"), F.col("refers_at").alias("full_at")).distinct())
+    responses = captures.where("kind = 'response' and at is not null").select(
+        F.col("record_id").alias("full_id"), canonical(F.col("url")).alias("full_key"), F.unix_micros("at").alias("full_at"),
+        F.struct(F.col("headers").alias("headers"), F.col("payload").alias("payload")).alias("full"))
+    full = marked(responses, referred, *capture).where("again").groupBy(*capture).agg(
+        F.min_by("full", F.struct("full.payload", F.to_json("full.headers"))).alias("full"))
+    own = captures.where("kind = 'revisit'").select(
+        F.col("record_id").alias("own_id"), canonical(F.col("url")).alias("own_key"), F.unix_micros("at").alias("own_at"), F.col("headers").alias("own_headers")).groupBy(
+        "own_id", "own_key", "own_at").agg(F.min_by("own_headers", F.to_json("own_headers")).alias("own_headers"))
     # only revisits that get a response meet the payloads; the others need no join
     usable = F.col("outcome").isin("resolved", "unchecked")
     renewed = F.map_filter(F.coalesce("own_headers", F.create_map().cast("map<string,string>")), lambda k, v: k.isin(*PERMITTED))
-    merged = F.map_concat(F.map_filter("full_headers", lambda k, v: ~F.array_contains(F.map_keys(renewed), k)), renewed)
-    joined = found.where(usable).join(full, F.col("refers_to") == F.col("full_id")).join(
-        own, F.col("record_id").eqNullSafe(F.col("own_id")) & F.col("at").eqNullSafe(F.col("own_at")), "left")
+    merged = F.map_concat(F.map_filter("full.headers", lambda k, v: ~F.array_contains(F.map_keys(renewed), k)), renewed)
+    joined = found.where(usable).join(
+        full, (F.col("refers_to") == F.col("full_id")) & (F.col("url_key") == F.col("full_key")) & (F.col("refers_at") == F.col("full_at"))).join(
+        own, F.col("record_id").eqNullSafe(F.col("own_id")) & (F.col("url_key") == F.col("own_key")) & F.col("at").eqNullSafe(F.col("own_at")), "left")
     columns = ["record_id", "url_key", "refers_to", "outcome"]
-    return joined.select(*columns, merged.alias("headers"), F.col("full_payload").alias("payload")).unionByName(found.where(~usable).select(
+    return joined.select(*columns, merged.alias("headers"), F.col("full.payload").alias("payload")).unionByName(found.where(~usable).select(
         *columns, F.lit(None).cast("map<string,string>").alias("headers"), F.lit(None).cast(captures.schema["payload"].dataType).alias("payload")))
 
 

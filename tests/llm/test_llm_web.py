@@ -130,6 +130,16 @@ def test_revisits_take_the_latest_earlier_response(spark):
     assert resolved(table.limit(0)).count() == 0
 
 
+def test_one_record_id_for_several_captures(spark):
+    table = captures(spark, [
+        (1, "http://a.org/", 10, "response", {"etag": "x"}, "A"), (1, "http://b.org/", 10, "response", {"etag": "x"}, "B"), (1, "http://b.org/", 5, "response", {"etag": "x"}, "old"),
+        (1, "http://c.org/", 10, "response", {"etag": "x", "n": "2"}, "C2"), (1, "http://c.org/", 10, "response", {"etag": "x", "n": "1"}, "C1"),
+        (7, "http://b.org/", 20, "revisit", {"etag": "x", "date": "b"}, None), (7, "http://a.org/", 20, "revisit", {"etag": "x", "date": "a"}, None),
+        (8, "http://c.org/", 20, "revisit", {"etag": "x"}, None)])
+    got = {r["url_key"]: (r["payload"], r["headers"]) for r in resolved(table).collect()}
+    assert got == {"a.org": ("A", {"etag": "x", "date": "a"}), "b.org": ("B", {"etag": "x", "date": "b"}), "c.org": ("C1", {"etag": "x", "n": "1"})}
+
+
 def test_warc_files(spark, tmp_path):
     def record(kind, name, date, head, body=""):
         block = f"HTTP/1.1 200 OK\r\n{head}\r\n\r\n{body}".encode()
@@ -196,7 +206,7 @@ def test_query_equals_sql(spark, sql, name):
 
 
 def test_native_queries_run_no_python(spark):
-    for name in ("op5_license_scan", "op6_weighted_fair_mix"):
+    for name in ("op5_license_scan", "op6_weighted_fair_mix", "op12_exact_dedup"):
         text = queries.QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in text and "Arrow" not in text and "Pandas" not in text
 
