@@ -27,6 +27,10 @@ def folded(text: str) -> bytes:
     return b" ".join(text.lower().encode().translate(FOLDED).split())
 
 
+#: Hashes of sampled texts that are broadcast at most (about 100 bytes each); a longer list is joined by a shuffle.
+LISTED = 100_000
+
+
 def dictionaries(labelled: DataFrame, dictionary_bytes: int, sample_texts: int, total_bytes: int) -> dict[str, bytes]:
     """(lang, text) -> bytes of each language's dictionary.
 
@@ -40,12 +44,16 @@ def dictionaries(labelled: DataFrame, dictionary_bytes: int, sample_texts: int,
     if not counts:
         return {}
     size = min(dictionary_bytes, total_bytes // len(counts))
-    shares = labelled.sparkSession.createDataFrame([(lang, max(1, size // n)) for lang, n in counts.items()], "lang string, share int")
-    cut = F.substring(F.col("text"), F.lit(1), F.col("share"))
-    sample = labelled.join(first, ["lang", "turn"]).join(shares, "lang").groupBy("lang", "turn").agg(F.min(cut).alias("text"))
+    # what a text can give to a dictionary is cut off before anything is shuffled, and the sample's list is small
+    longest = max(max(1, size // n) for n in counts.values())
+    if sum(counts.values()) <= LISTED:
+        first = F.broadcast(first)
+    sample = labelled.select("lang", "turn", F.substring("text", 1, longest).alias("text")).join(first, ["lang", "turn"]).groupBy("lang", "turn").agg(
+        F.min("text").alias("text"))
     parts: dict[str, list[bytes]] = {lang: [] for lang in counts}
-    for row in sorted(sample.collect()):  # total_bytes characters at most
-        parts[row["lang"]].append(folded(row["text"])[:max(1, size // counts[row["lang"]])])
+    for row in sorted(sample.select("lang", "turn", "text").collect()):  # ``sample_texts`` cut texts per language
+        share = max(1, size // counts[row["lang"]])
+        parts[row["lang"]].append(folded(row["text"][:share])[:share])
     return {lang: b"\n".join(some)[:size] for lang, some in parts.items()}
 
 
