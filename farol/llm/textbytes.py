@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -32,20 +34,19 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-class _Memo(dict):
-    """Values kept by a process; they do not travel with the functions that use them."""
-
-    def __reduce__(self):
-        return dict, ()
-
-
-_POWERS = _Memo()
+def _memo() -> dict:
+    """Values kept by the process. They are kept in a module of their own: functions that travel by value have new globals in
+    every task, and what those hold stays in memory until the garbage collector happens to look at them."""
+    return vars(sys.modules.setdefault("farol_memo", ModuleType("farol_memo")))
 
 
 def _powers(seed: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    if (seed, size) not in _POWERS:
-        _POWERS[seed, size] = _powers_of(seed, size)
-    return _POWERS[seed, size]
+    if size > BLOCK_BYTES:
+        return _powers_of(seed, size)
+    memo = _memo()
+    if f"powers {seed} {size}" not in memo:
+        memo[f"powers {seed} {size}"] = _powers_of(seed, size)
+    return memo[f"powers {seed} {size}"]
 
 
 def _powers_of(seed: int, size: int) -> tuple[np.ndarray, np.ndarray]:
