@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from farol.llm.common import Stages, ready, texts
 from farol.llm.components import components
+from farol.llm.exact_dedup import marked
 from farol.llm.textbytes import Rolling, as_long, mix, shingles, text_blocks
 
 _HALF = np.uint64(32)
@@ -238,7 +239,10 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5) -> Dat
         "node", F.col("first.doc_id").alias("first_doc"), F.col("first.text_hash").alias("first_text"), *SIZES, "sketch"))
 
     per_key = Window.partitionBy("key")
-    keys = docs.mapInArrow(_keys(percent, shingle), "key long, node long, meta int")
+    # keys of one document per set: the others are passed over in the scan
+    firsts = nodes.select(F.col("first_doc").alias("doc_id"), F.col("first_text").alias("text_hash"))
+    chosen = marked(docs.withColumn("text_hash", F.xxhash64("text")), firsts, "doc_id", "text_hash").where("again").select(*docs.columns)
+    keys = chosen.mapInArrow(_keys(percent, shingle), "key long, node long, meta int")
     met = stages.put("jaccard-met", keys.withColumn("least", F.min("node").over(per_key)).withColumn("most", F.max("node").over(per_key)).withColumn(
         "members", F.count("*").over(per_key)).where("least < most").groupBy("key", "node", "meta").agg(F.first("members").alias("members")))
     weights = met.groupBy("node").agg(F.sum("members").alias("weight"))
@@ -268,9 +272,14 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5) -> Dat
 
 
 def without_near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5) -> DataFrame:
-    """The rows and columns of ``docs``, of each component only its first document by doc_id (null last) and text hash."""
+    """The rows and columns of ``docs``, of each component only its first document by doc_id (null last) and text hash.
+
+    Repeated rows leave one; documents without a shingle (null, empty) stay, one of each doc_id and text. Columns of any name are kept.
+    """
     stays = near_duplicates(docs, percent, shingle).where("stays").select(
         F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-    rows = docs.withColumn("__text_hash", F.xxhash64(docs["text"].cast("string"))).withColumn("__doc_id", docs["doc_id"].cast("long"))
-    rows = rows.join(stays, F.col("__doc_id").eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__hash")), "left_semi")
-    return rows.dropDuplicates(["__doc_id", "__text_hash"]).select(*[rows[c] for c in docs.columns])
+    # the row travels as one value, so no column of it can clash
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), F.xxhash64(docs["text"].cast("string")).alias("text_hash"),
+                       docs["doc_id"].cast("long").alias("doc_id"))
+    rows = rows.join(stays, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash")), "left_semi")
+    return rows.dropDuplicates(["doc_id", "text_hash"]).select("doc.*")

@@ -64,6 +64,8 @@ def test_odd_rows(spark, documents, prose):
     assert kept.columns == docs.columns
     assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == [2, 3, 8, 9, 10, 12]
     assert near_duplicates(docs.limit(0), 85, 4).count() == 0
+    named = docs.select("doc_id", "text", docs["key"].alias("__doc_id"), docs["label"].alias("__text_hash"))
+    assert {(r["__doc_id"], r["__text_hash"]) for r in without_near_duplicates(named).collect()} == {("k", "l")}
 
 
 def test_bands_give_the_smaller_set_enough_units():
