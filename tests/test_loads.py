@@ -10,7 +10,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from farol.plans import datasets, flat_load, questions, snapshots, star_load
+from farol.plans import beds, datasets, flat_load, questions, snapshots, star_load
 from farol.plans.views import LAKE_VIEWS, lake_view, register_lake_views
 from farol.session import scratch_dir
 from farol.sources.delimited import read_delimited
@@ -256,6 +256,23 @@ def test_flat_reload(spark, database, tmp_path):
     assert flat_load.reload_flat(spark, files[1:], table).count() == 1
 
 
+def test_flat_load_keeps_rejects_and_a_report(spark, database, tmp_path):
+    folder = tmp_path / "flat"
+    files = [write(folder, "a.csv", FLAT + '202301;"SP";"x";"1";"10";"3,7";"1"\n202302;"RJ";"y";"2";"2,5";"4";"1";"mais"\n202303;"RJ";"y";"3";"2,5";"4,5";"1"\n'),
+             write(folder, "b.csv", "comp,uf,cnes\n2023-03-01,AC,3\n", "utf-8")]
+    loaded = flat_load.load_flat(spark, files, f"{database}.hospitais_leitos")
+    assert rows(loaded.table.select("cnes", "leitos_geral")) == [("1", 10), ("3", 2), ("3", None)]
+    assert [r["fields"][-1] for r in loaded.rejects.collect()] == ["mais"]
+    assert rows(loaded.report.select(F.regexp_extract("source_file", "[^/]*$", 0), "lines", "rows", "long_rows", "lossy")) == [("a.csv", 4, 2, 1, 3), ("b.csv", 2, 1, 0, 0)]
+
+
+def test_capacity_check_counts_repeated_rows(spark):
+    data = [("f", "1", "202301"), ("f", "1", "202301"), ("f", "2", "202302"), ("f", "2", "x"), ("f", "2", None), ("g", "1", "2023-01-01")]
+    got = beds.capacity_check(spark.createDataFrame(data, "source_file string, cnes string, data_competencia_info string"))
+    assert rows(got.select("source_file", "valid", "invalid", "first_day", "last_day", "repeated")) == [
+        ("f", 3, 2, "2023-01-01", "2023-02-01", 2), ("g", 1, 0, "2023-01-01", "2023-01-01", 0)]
+
+
 def test_incremental_ingest(spark, database, tmp_path):
     folder, checkpoint = tmp_path / "landing", scratch_dir(spark, "cp")
     write(folder, "stock 2025 50%.csv", STOCK_HEADER + stock() + stock(lot="L2"))

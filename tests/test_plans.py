@@ -15,7 +15,7 @@ from farol.session import as_of_date
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings",
           "pages", "benchmark", "labels", "conversations"]
-WRITES_FILES = ("star_", "incremental_", "flat_", "csv_export", "snapshot_")
+WRITES_FILES = ("star_", "incremental_", "flat_", "csv_export", "snapshot_", "load_report", "zip_stock", "date_election", "capacity_check", "geojson_names")
 # compared row by row here; tools/compare.py does it for all
 COMPARED = ["q04_top_products_common_supplier", "q06_above_average", "q12_three_way", "q15_tuple_semi", "q20_price_disparity",
             "describe_exact", "value_shares", "mode_per_group", "per_capita", "keep_first_dedup", "pair_bleu", "clean_text", "sample_stable"]
