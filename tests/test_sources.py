@@ -261,3 +261,21 @@ def test_export(spark, tmp_path):
     out = str(tmp_path / "out")
     tables.export_csv(spark.createDataFrame([(1, "a;b"), (2, None)], "n int, t string"), out)
     assert rows(spark.read.option("header", True).csv(out)) == [("1", "a;b"), ("2", None)]
+
+
+def test_archives_reach_python_in_pieces(spark, tmp_path, monkeypatch):
+    from farol.sources import archives
+
+    paths = []
+    for name, n in (("a", 40), ("b", 1), ("c", 900)):
+        paths.append(str(tmp_path / f"{name}.zip"))
+        with zipfile.ZipFile(paths[-1], "w") as z:
+            z.writestr("d.csv", "".join(f"{name}{i}\n" for i in range(n)))
+    monkeypatch.setattr(archives, "PIECE", 100)
+    lines = archive_lines(spark, paths)
+    got = [(r["line"], r["pos"]) for r in lines.collect()]
+    assert sorted(got) == sorted((f"{name}{i}", i) for name, n in (("a", 40), ("b", 1), ("c", 900)) for i in range(n))
+    assert "UDTF" not in lines._jdf.queryExecution().executedPlan().toString()
+    # a store that pyarrow does not know is read in pieces whatever the size
+    monkeypatch.setattr(archives, "_opens", lambda path: False)
+    assert archive_lines(spark, paths, largest=1).count() == 941
