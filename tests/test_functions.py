@@ -146,3 +146,18 @@ def test_scores_on_rows(spark):
     assert got[0][0] == pytest.approx(1 / math.sqrt(2)) and got[1][0] is None
     scores = {r["o"]: r["score"] for r in bleu(df, ["o"], "o", "p").collect()}
     assert scores["a b c d"] == pytest.approx(1.0) and scores["a"] == 0.0
+
+
+def test_dates_are_parsed_only_where_their_separators_stand(spark):
+    cells = ["2023-02-01", "2023/02/01", "01/02/2023", "+12023-02-01", "2023-02-01 03:04:05", "2023/02/01 03:04:05", "2023-02-01t03:04:05",
+             "2023-2-1", "2023-02/01", "2023-02-30", "1/2/2023", "12:34:56", " 2023-02-01", "202302", "", "-", None]
+    plain = [F.try_to_date("c", f) for f in [*dates.DATE_FORMATS, dates.ISO_FORMAT]]
+    df = spark.createDataFrame([(c,) for c in cells], "c string")
+    for got, want in df.select(dates.date_of(F.col("c")).cast("string"), F.coalesce(*plain).cast("string")).collect():
+        assert got == want
+    # a failed parse raises inside, so each is guarded
+    assert str(dates.date_of(F.col("c"))).count("CASE WHEN") >= len(plain)
+
+
+def test_methods_that_hotspot_does_not_compile_are_not_used(spark):
+    assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000

@@ -334,3 +334,24 @@ def test_the_oldest_year_comes_first(spark, tmp_path):
     write(folder, "stock_2020.csv", STOCK_HEADER + stock())
     os.utime(folder / "stock_2021.csv", (1, 1))
     assert names(1) == names(1000) and "POSTO 7" in str(names(1))
+
+
+def test_rows_are_numbered_without_a_shuffle(spark):
+    from farol.operators.keys import file_offsets, number_rows
+    from farol.session import staged
+
+    folder, _ = staged(spark.range(0, 100, 1, 3), "numbered")
+    _, offsets = staged(file_offsets(spark, folder), "offsets")
+    numbered = number_rows(spark, folder, "n", offsets=offsets)
+    assert rows(numbered.select("n")) == [(i,) for i in sorted(range(1, 101), key=lambda i: repr((i,)))]
+    assert "Exchange hashpartitioning" not in numbered._jdf.queryExecution().executedPlan().toString()
+
+
+def test_copies_of_dimension_rows_are_combined_before_they_are_sorted(spark):
+    dim = datasets.Dimension("d", "d_id", ["k"], [datasets.Rule("a", "k"), datasets.Rule("b", "name")])
+    order = F.struct(F.lit(2020).alias("year"), F.lit("f").alias("path"), F.lit(0).cast("bigint").alias("block"), F.col("id").alias("pos"))
+    raw = spark.range(1000).select((F.col("id") % 3).cast("string").alias("a"), F.when(F.col("id") < 900, (F.col("id") % 2).cast("string")).alias("b"), order.alias("row_order"))
+    got = star_load.dimension_rows(raw, dim)
+    assert rows(got.select("k", "name")) == [("0", "0"), ("1", "1"), ("2", "0")]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("WindowGroupLimit") < plan.index("HashAggregate")
