@@ -161,3 +161,12 @@ def test_dates_are_parsed_only_where_their_separators_stand(spark):
 
 def test_methods_that_hotspot_does_not_compile_are_not_used(spark):
     assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
+
+
+def test_whole_numbers_are_not_parsed_for_a_fraction(spark):
+    cells = ["3", " 3 ", "3,7", "3.0", "-2", "+2,5", "1e1", "15e-1", "1E-1", "x", "", "1d", "NaN", "9" * 18, "9" * 19, "9" * 40, "0x1", "1,2,3", None]
+    number = numeric.comma_number(F.col("c"))
+    df = spark.createDataFrame([(c,) for c in cells], "c string")
+    for got, want in df.select(numeric.loses_fraction(F.col("c")), F.coalesce(number != F.floor(number), F.lit(False))).collect():
+        assert got is want
+    assert "CASE WHEN" in str(numeric.loses_fraction(F.col("c")))
