@@ -217,18 +217,24 @@ def _strings(length: int):
 def _duplicates(rows: pa.RecordBatch, length: int) -> pa.RecordBatch:
     """Runs of suffixes whose refined bucket has an earlier document, for rows that hold whole buckets.
 
-    ``pointer`` is, for every place, the start of its bucket in the sorted order so far.
+    ``pointer`` is, for every place, the start of its bucket in the sorted order so far. A large bucket is held whole, so what
+    is kept for every byte has 32 bits, and ranks are numbered anew.
     """
     _, _, data, offsets = next(text_blocks(rows.column("bytes"), 1 << 62))
-    rank = np.repeat(rows.column("rank").to_numpy(), np.diff(offsets))
-    left = np.repeat(offsets[1:], np.diff(offsets)) - np.arange(len(data))  # bytes up to the end of the run
-    pointer, depth = np.zeros(len(data), np.int64), FIRST
-    live = np.flatnonzero(left >= FIRST)
+    rank = np.repeat(np.unique(rows.column("rank").to_numpy(), return_inverse=True)[1].astype(np.int32), np.diff(offsets))
+    left = np.repeat(offsets[1:].astype(np.int32), np.diff(offsets))  # bytes up to the end of the run
+    left -= np.arange(len(data), dtype=np.int32)
+    pointer, depth = np.zeros(len(data), np.int32), FIRST
+    live = np.flatnonzero(left >= FIRST).astype(np.int32)
     key = np.zeros(len(data), np.uint64)
     for k in range(FIRST):
-        key[:len(data) - k] = key[:len(data) - k] << np.uint64(8) | data[k:].astype(np.uint64)
-    live, start = _sorted(live, key[live])
+        key <<= np.uint64(8)
+        key[:len(data) - k] |= data[k:]
+    if len(live) < len(key):
+        key = key[live]
+    live, start = _sorted(live, key)
     pointer[live] = start
+    del key
     while True:
         # of each bucket, the first and the last document
         edge = np.flatnonzero(np.append(True, start[1:] != start[:-1])) if len(live) else live
@@ -239,9 +245,14 @@ def _duplicates(rows: pa.RecordBatch, length: int) -> pa.RecordBatch:
         last = np.repeat(np.maximum.reduceat(rank[live], edge), size) if len(live) else live
         step = min(depth, length - depth)
         live = live[(first < last) & (left[live] >= depth + step)]
+        del first, last, start
         # within a bucket, by the pointer at the later offset; new pointers stay below the next bucket's
-        live, start = _sorted(live, pointer[live].astype(np.uint64) << np.uint64(32) | pointer[live + step].astype(np.uint64), pointer[live])
+        key = pointer[live].astype(np.uint64)
+        key <<= np.uint64(32)
+        key |= pointer[live + np.int32(step)].astype(np.uint64)
+        live, start = _sorted(live, key, pointer[live])
         pointer[live] = start
+        del key
         depth += step
     later = np.zeros(len(data), bool)
     later[live[rank[live] > first]] = True
@@ -254,13 +265,14 @@ def _sorted(places: np.ndarray, key: np.ndarray, base: np.ndarray | None = None)
     """Places in the order of their key, and where the bucket of equal keys starts; within its former bucket, which starts at ``base``."""
     order = np.argsort(key)
     places, key = places[order], key[order]
-    at = np.arange(len(places))
+    at = np.arange(len(places), dtype=np.int32)
 
     def since(new: np.ndarray) -> np.ndarray:
         return np.maximum.accumulate(np.where(new, at, 0))
 
     new = np.ones(len(places), bool)
     new[1:] = key[1:] != key[:-1]
+    del key
     if base is None:
         return places, since(new)
     base = base[order]

@@ -2,7 +2,10 @@ from __future__ import annotations
 
 import hashlib
 import random
+import tracemalloc
 
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from conftest import rows
 from samples import LONG, documents, prose  # noqa: F401
@@ -98,3 +101,26 @@ def test_texts_of_one_character(spark, documents):
     docs = documents([(i, "z" * (2000 + i)) for i in range(30)])
     got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"]) for r in digest(docs, 50).collect()}
     assert got == {i: (2000 + i, 2000 + i if i else 0, 1 if i else 0) for i in range(30)}
+
+
+def test_a_large_bucket_takes_little_memory():
+    from farol.llm.suffix_dedup import _duplicates
+
+    rnd = random.Random(4)
+    common = bytes(rnd.choices(range(97, 123), k=149))
+    texts = [common[:rnd.randrange(60, 150)] for _ in range(8000)]
+    rows_ = pa.RecordBatch.from_pydict({"rank": pa.array([(1 << 40) + i for i in range(8000)]), "text_hash": pa.array(range(8000)), "bucket": pa.array([1] * 8000),
+                                        "start": pa.array([0] * 8000), "bytes": pa.array(texts, pa.binary())})
+    tracemalloc.start()
+    got = _duplicates(rows_, 50)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 75 * sum(map(len, texts)), peak / sum(map(len, texts))
+    # all suffixes of 50 bytes and more are those of the longest text; a place is kept where its string comes first
+    longest = 0
+    for i, text in enumerate(texts):
+        new = max(0, len(text) - 49 - longest)
+        assert got.filter(pc.equal(got.column("text_hash"), i)).column("suffixes").to_pylist() == ([len(text) - 49 - new] if len(text) - 49 - new else [])
+        longest = max(longest, len(text) - 49)
+        if i == 200:
+            break
