@@ -35,7 +35,7 @@ LIMIT = 1 << 62
 
 def _vectors(batch: pa.RecordBatch, column: str, dim: int) -> np.ndarray:
     """floor(SCALE * c) of a batch as a matrix of integers."""
-    values = batch.column(column).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    values = batch.column(column).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, dim)
     with np.errstate(over="ignore"):
         scaled = np.floor(values * SCALE)
     return np.where(scaled >= LIMIT, LIMIT, np.where(scaled <= -LIMIT, -LIMIT, np.clip(scaled, -LIMIT, LIMIT - 1024).astype(np.int64)))
@@ -44,7 +44,7 @@ def _vectors(batch: pa.RecordBatch, column: str, dim: int) -> np.ndarray:
 def _digits(x: np.ndarray) -> list[np.ndarray]:
     """x = sum of digit k * 2^(DIGIT * k); the last digit carries the sign."""
     out = []
-    while len(x) and (x.max() >= 1 << DIGIT or x.min() < -(1 << DIGIT)):
+    while x.size and (x.max() >= 1 << DIGIT or x.min() < -(1 << DIGIT)):
         out.append((x & ((1 << DIGIT) - 1)).astype(np.float64))
         x = x >> DIGIT
     return [*out, x.astype(np.float64)]
