@@ -93,6 +93,23 @@ def test_model_equals_the_formula(spark, documents, prose):
     assert abs(total - 1) < 1e-6
 
 
+def test_no_lead_or_control_bytes_are_taken_as_one(spark, documents):
+    # they differ in lead bytes and control bytes only
+    pairs = [("\u4e2d\u6587", "\u5e2d\u6587"), ("\u0430\u0440", "\u0470\u0440"), ("a\x01b", "a\x02b"), ("a\tb", "a\rb")]
+    for left, right in pairs:
+        (_, _, data, offsets), = text_blocks(pa.array([left, right]))
+        codes = quality._grams(data, offsets)
+        assert list(codes[offsets[0]:offsets[1]]) != list(codes[offsets[1]:offsets[2]]), (left, right)
+    # a text of other characters with the same continuation bytes falls out of the band of its language
+    rnd = random.Random(3)
+    words = ["".join(chr(0x4E00 + 64 * rnd.randrange(4) + rnd.randrange(64)) for _ in range(2)) for _ in range(40)]
+    docs = [(i, " ".join(rnd.choice(words) for _ in range(120)), "zh", "a") for i in range(40)]
+    other = docs[0][1].translate({c: c + 0x5000 for c in range(0x4E00, 0x4F00)})
+    assert [b & 0x3F for b in other.encode() if b & 0xC0 == 0x80] == [b & 0x3F for b in docs[0][1].encode() if b & 0xC0 == 0x80]
+    kept = {r["doc_id"]: r["kept"] for r in quality.judged(documents([*docs, (90, other, "zh", "a")])).collect()}
+    assert kept[0] and not kept[90]
+
+
 def test_base_counts_and_bands(spark, documents, prose):
     rnd = random.Random(1)
     docs = [(i, prose(rnd.randrange(40, 120), i), "en", "a") for i in range(40)]
