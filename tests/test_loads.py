@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import datetime as dt
 import os
+import time
 import uuid
 import zipfile
 from decimal import Decimal
@@ -11,7 +12,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from farol.plans import beds, datasets, flat_load, questions, snapshots, star_load
-from farol.plans.views import LAKE_VIEWS, lake_view, register_lake_views
+from farol.plans.views import LAKE_VIEWS, lake_view, month_slices, register_lake_views
 from farol.session import scratch_dir
 from farol.sources.delimited import read_delimited
 from farol.sources.tables import ensure_table, read_merged, reserve_ids
@@ -355,3 +356,62 @@ def test_copies_of_dimension_rows_are_combined_before_they_are_sorted(spark):
     assert rows(got.select("k", "name")) == [("0", "0"), ("1", "1"), ("2", "0")]
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert plan.index("WindowGroupLimit") < plan.index("HashAggregate")
+
+
+def test_a_load_in_slices_equals_one_in_whole(spark, database, tmp_path, monkeypatch):
+    # products and suppliers come again in later files under other names; the first one stays
+    files = [write(tmp_path / "in", f"bps_{2018 + i}.csv", PURCHASE_HEADER + "".join(
+        purchase(code=str((i + k) % 4), name=f"N{i}{k}", day=f"{2018 + i}/0{1 + k}/01", qty=f"{i}{k},0", supplier=f"S{i}", supplier_id=str(k % 2)) for k in range(3)))
+        for i in range(5)]
+    wide = [c for c in LAKE_VIEWS["bps"].columns()]
+    whole = star_load.load_star(spark, read_delimited(spark, files), datasets.PURCHASES, database)
+    want = rows(lake_view(spark, "bps", database, wide))
+    other, written, replace = f"{database}_s", [], star_load.replace_files
+    spark.sql(f"CREATE DATABASE {other} LOCATION '{scratch_dir(spark, other)}'")
+    monkeypatch.setattr(star_load, "SLICE_ROWS", 7)
+    monkeypatch.setattr(star_load, "replace_files", lambda s, table, df: written.append(table) or replace(s, table, df))
+    sliced = star_load.load_star(spark, read_delimited(spark, files), datasets.PURCHASES, other)
+    # three rows a file, two files a slice
+    assert len(written) == 3 and sliced.added == whole.added
+    assert rows(lake_view(spark, "bps", other, wide)) == want
+    ids = [r[0] for r in spark.table(f"{other}.instituicao_compra_produto").select("instituicao_compra_produto_id").collect()]
+    assert sorted(ids) == list(range(1, 16))
+    months = month_slices(spark, "bps", other, 4)
+    assert sum(n for _, n in months) == 15 and all(n <= 4 for _, n in months)
+    assert rows(spark.createDataFrame([tuple(r) for m, _ in months for r in lake_view(spark, "bps", other, wide, m).collect()], lake_view(spark, "bps", other, wide).schema)) == want
+    assert [n for _, n in month_slices(spark, "bps", other, 4, whole_years=True)] == [3] * 5
+
+
+def test_files_with_interleaving_rows_share_a_slice(spark):
+    raw = spark.createDataFrame([("a", 1), ("b", 2), ("a", 3), (None, 4), ("c", 5), ("c", None)], "source_file string, row_order int")
+    assert [set(s) for s in star_load.file_slices(raw, 1)] == [{"a", "b"}, {None}, {"c"}]
+    assert star_load.file_slices(raw.limit(0), 1) == []
+
+
+def test_parts_of_line_items_are_all_of_them(spark, tmp_path):
+    from farol.plans import order_views
+
+    keys = [None, None, 1, 1, 2, 3, 4, 5, 6, 7]
+    spark.createDataFrame([(k,) for k in keys], "l_orderkey bigint").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame([(k,) for k in keys], "o_orderkey int").write.parquet(str(tmp_path / "orders.parquet"))
+    parts = [order_views.tables(spark, str(tmp_path), (k, 3)) for k in range(3)]
+    found = [rows(load("lineitem")) for load in parts]
+    assert sorted((r for f in found for r in f), key=repr) == sorted(((k,) for k in keys), key=repr) and sum(map(bool, found)) > 1
+    assert [rows(load("orders")) for load in parts] == found
+
+
+def test_writes_leave_no_shuffle_files(spark):
+    from farol.session import prepare, staged
+
+    def shuffled():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {f for f in str(files.mkString("\n")).split("\n") if "shuffle_" in f}
+
+    prepare(spark)
+    before = shuffled()
+    _, table = staged(spark.range(1000).groupBy(F.col("id") % 100).count(), "shuffled")
+    until = time.time() + 20
+    while shuffled() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not shuffled() - before and table.count() == 100
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
