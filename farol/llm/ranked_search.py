@@ -35,6 +35,8 @@ for _kept in (b"0123456789", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqr
 BLOCK_POINTS = 1 << 20
 #: Items are searched for together up to so many terms, which is what the driver and a task hold of them.
 ITEM_TERMS = 1 << 17
+#: Bytes of a Parquet row group of an index, a block at least: what a task holds of the blocks it writes or reads.
+GROUP_BYTES = 1 << 24
 #: Document ranges opened at a time.
 OPENED = 128
 
@@ -42,7 +44,7 @@ INDEX = "docs binary, terms binary, grid_rows binary, holders binary, quadrants
 #: Leaves keep at most 16 levels of their place in 32 bits.
 REST_LEVELS = 16
 
-_COUNT = np.array([bin(v).count("1") for v in range(16)], np.int64)
+_COUNT = np.array([bin(v).count("1") for v in range(16)], np.int32)
 #: Quadrants before a quadrant, by the byte of a cell.
 _BEFORE = np.array([[bin(v & ((1 << q) - 1)).count("1") for q in range(4)] for v in range(16)], np.int64)
 
@@ -73,21 +75,26 @@ class Grid:
     def __init__(self, docs, terms, grid_rows, holders, quadrants, maxima, rest, depth: int):
         self.docs, self.terms, self.grid_rows, self.holders = docs, terms, grid_rows, holders
         self.quadrants, self.maxima, self.rest, self.depth = quadrants, maxima, rest, depth
-        self.first = np.cumsum(_COUNT[quadrants]) - _COUNT[quadrants] + 1
-        self.leaf = np.cumsum(quadrants == 0) - 1
+        # a block's cells are counted in 32 bits
+        self.first = np.cumsum(_COUNT[quadrants], dtype=np.int32)
+        self.first -= _COUNT[quadrants]
+        self.first += 1
+        self.leaf = np.cumsum(quadrants == 0, dtype=np.int32)
+        self.leaf -= 1
 
     @staticmethod
     def build(docs: np.ndarray, column: np.ndarray, h: np.ndarray, impact: np.ndarray) -> Grid:
         """From document ids by column, and column, term and impact of every point."""
         terms, term, holders = np.unique(h, return_inverse=True, return_counts=True)
         highest = np.zeros(len(terms), np.int64)
-        np.maximum.at(highest, term, impact)
+        np.maximum.at(highest, term, impact.astype(np.int64))
         grid_rows = np.empty(len(terms), np.int64)
         grid_rows[np.argsort(-highest, kind="stable")] = np.arange(len(terms))
         depth = int(max(len(terms), len(docs), 2) - 1).bit_length()
         code = _spread(grid_rows[term]) << np.uint64(1) | _spread(column)
         order = np.argsort(code)
         code, impact = code[order], impact[order].astype(np.uint32)
+        del order, term, column, h
         maxima, rests, quadrants = [], [], []
         for level in range(depth + 1):
             if not len(code):
@@ -203,7 +210,9 @@ def _indexed(holding: int, total: int, block_points: int):
         order = np.argsort(docs, kind="stable")
         place = np.empty(len(docs), np.int64)
         place[order] = np.arange(len(docs))
-        return Grid.build(docs[order], place[column], np.concatenate([p[2] for p in parts]), np.concatenate([p[3] for p in parts]))
+        h, impact = (np.concatenate([p[i] for p in parts]) for i in (2, 3))
+        parts.clear()
+        return Grid.build(docs[order], place[column], h, impact)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([(c.split()[0], pa.int32() if c.endswith("int") else pa.binary()) for c in INDEX.split(", ")])
@@ -216,11 +225,19 @@ def _indexed(holding: int, total: int, block_points: int):
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             for low, high, data, offsets in text_blocks(batch.column("text")):
                 text, h, tf, n = _terms(data, offsets)
-                parts.append((ids[low:high], text, h, _impacts(tf, n[text], holding, total)))
-                points += len(h)
-                if points >= block_points:
-                    yield block()
-                    parts, points = [], 0
+                text, impact = text.astype(np.int32), _impacts(tf, n[text], holding, total).astype(np.uint32)
+                upto = np.cumsum(np.bincount(text, minlength=high - low))
+                row = at = 0
+                while row < high - low:
+                    # up to the document that fills the block
+                    stop = min(int(np.searchsorted(upto, at + block_points - points)) + 1, high - low)
+                    end = int(upto[stop - 1])
+                    parts.append((ids[low + row:low + stop], text[at:end] - row, h[at:end], impact[at:end]))
+                    points += end - at
+                    row, at = stop, end
+                    if points >= block_points:
+                        yield block()
+                        parts, points = [], 0
         if points:
             yield block()
 
@@ -239,13 +256,15 @@ def build_index(docs: DataFrame, stages: Stages, block_points: int = BLOCK_POINT
     rows = texts(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
     counted = rows.select("text").mapInArrow(_count, "n long, total long").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).first()
     holding, total = counted["n"] or 0, counted["total"] or 0
-    return stages.put("search-index", rows.mapInArrow(_indexed(holding, max(1, total), block_points), INDEX)), holding
+    # Parquet looks at the size of a row group after a hundred rows, unless it is told to; a row is a block here
+    groups = {"parquet.block.size": str(GROUP_BYTES), "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1"}
+    return stages.put("search-index", rows.mapInArrow(_indexed(holding, max(1, total), block_points), INDEX), **groups), holding
 
 
 def _grids(batches: Iterator[pa.RecordBatch]) -> Iterator[Grid]:
     for batch in batches:
         for i in range(batch.num_rows):
-            yield Grid.load(*[batch.column(c.split()[0])[i].as_py() for c in INDEX.split(", ")])
+            yield Grid.load(*[batch.column(c.split()[0])[i].as_buffer() for c in INDEX.split(", ")[:-1]], batch.column("depth")[i].as_py())
 
 
 def _holders(wanted: np.ndarray):
@@ -254,7 +273,7 @@ def _holders(wanted: np.ndarray):
         total = np.zeros(len(wanted), np.int64)
         for batch in batches:
             for i in range(batch.num_rows):
-                terms, holders = np.frombuffer(batch.column("terms")[i].as_py(), np.uint64), np.frombuffer(batch.column("holders")[i].as_py(), np.uint32)
+                terms, holders = (np.frombuffer(batch.column(c)[i].as_buffer(), kind) for c, kind in (("terms", np.uint64), ("holders", np.uint32)))
                 _, a, b = np.intersect1d(wanted, terms, assume_unique=True, return_indices=True)
                 total[a] += holders[b]
         yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(total), pa.int64()), pa.array(total[total > 0])], names=["term", "holders"])

@@ -6,9 +6,11 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from samples import LONG, documents, prose  # noqa: F401
 
+from farol.llm import ranked_search
 from farol.llm.common import Stages, ready
 from farol.llm.ranked_search import Grid, build_index, ranked, search
 
@@ -80,6 +82,18 @@ def test_an_index_serves_several_searches(spark, documents, asked, prose):
         assert got(search(index, holding, asked(items), stages, k=3)) == by_definition(docs, items, 3)
 
 
+def test_tasks_hold_few_blocks_of_an_index(spark, documents, asked, prose, monkeypatch):
+    monkeypatch.setattr(ranked_search, "GROUP_BYTES", 1 << 10)
+    docs = [(i, prose(40, i)) for i in range(60)]
+    stages = Stages(ready(spark))
+    index, holding = build_index(documents(docs).coalesce(1), stages, 200)
+    groups = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in index.inputFiles()]
+    rows = [m.row_group(i).num_rows for m in groups for i in range(m.num_row_groups)]
+    assert sum(rows) == index.count() > 2 and max(rows) == 1
+    items = [(i, prose(10, 500 + i)) for i in range(5)]
+    assert got(search(index, holding, asked(items), stages, k=3)) == by_definition(docs, items, 3)
+
+
 def test_grid_keeps_maxima_and_finds_the_best():
     rnd = np.random.default_rng(1)
     for columns, terms, points in ((1, 1, 1), (7, 3, 12), (200, 900, 5000), (3000, 40, 20000)):
